@@ -1,0 +1,414 @@
+"""The ten operators against brute force, and on odd rows."""
+
+import hashlib
+import os
+import re
+import zlib
+from collections import Counter
+from math import log10
+
+import numpy as np
+import public_tokenizers
+import pytest
+import xxhash
+from tokenizers import Tokenizer
+
+from trackweave.llm import decontaminate, language_id, mixing, ngram_lm, quality, queries, simhash, token_counts, token_store, toxicity, warc
+
+SF = "/root/testdata/sf0.001"
+PATH = public_tokenizers.path(queries.TOKENIZER)
+DOC = "doc_id long, text string, lang string, source string, n_chars long, score double, n int, key string"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LONG = " ".join(f"word{i % 997} <|endoftext|>x" for i in range(60_000))
+ODD = [
+    (1, "Plain words on a line, that's all of them here.\nPlain words on a line, that's all of them here.", "en", "a", 1, 0.5, 1, "k"),
+    (2, None, None, None, None, None, None, None),
+    (3, "", "en", "b", 0, 0.5, 1, "k"),
+    (4, " \t\n\x0b\x0c\r ", "de", "b", 7, 0.5, 1, "k"),
+    (5, LONG, "en", "a", len(LONG), 0.5, 1, "k"),
+    (5, LONG, "en", "a", len(LONG), 0.5, 1, "k"),
+    (None, "Plain words on a line, that's all of them here.", "fr", None, 1, 0.5, 1, "k"),
+    (7, "ÉCOLE école İ  nbsp  em <|endoftext|> a<|ENDOFTEXT|>b ̈x", "fr", "c", 1, 0.5, 1, "k"),
+    (8, "x" * 5000 + " " + "y" * 70_000, "es", "a", 1, 0.5, 1, "k"),
+    (9, "1234 !!! ###", "es", "d", 1, 0.5, 1, "k"),
+]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame(ODD, DOC)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DOC)
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return {r["doc_id"]: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+
+
+def test_toxicity(spark, odd, empty):
+    rows = queries.op1_toxicity(spark, "/root/testdata/sf0.01").collect()
+    toxic = {r["doc_id"]: r["toxic"] for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
+    held = [(r["predicted"], toxic[r["doc_id"]]) for r in rows if r["held_out"] and r["doc_id"] in toxic]
+    assert len(rows) == 1000 and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in rows)
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in rows)
+    assert sum(p == t for p, t in held) / len(held) > 0.85  # 330 labels to learn from, under 50 of them toxic
+    texts = [b"a fine day out", b"you are a moron", b"what a nice idea"] * 40
+    net = toxicity.train(texts, np.array([0, 1, 0] * 40), ["en"] * 120, epochs=8)
+    got = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(odd, net).collect()}
+    assert len(got) == 9 and got[2] == got[3] == got[4]
+    assert toxicity.score_toxicity(odd, net).count() == 10 and toxicity.score_toxicity(empty, net).count() == 0
+    assert {r["score"] for r in toxicity.score_toxicity(odd, None).collect()} == {0.0}
+    score = net.score([b"you are a moron", b"a fine day out"])
+    assert score[0] > 0.5 > score[1]
+    # pieces of a long text give what the whole text gives
+    whole = net.score([LONG.encode()])[0]
+    assert abs(got[5] - whole) < 1e-5
+    assert toxicity.fit_toxicity(empty, spark.createDataFrame([], "doc_id long, toxic int")) is None
+
+
+def brute_fingerprint(text):
+    words = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    shingles = [" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))] if words else []
+    h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << k for k in range(64) if 2 * sum(x >> k & 1 for x in h) > len(h))
+
+
+def brute_components(codes):
+    root = {c: c for c in codes}
+
+    def find(c):
+        while root[c] != c:
+            c = root[c]
+        return c
+
+    unique = sorted(codes)
+    for i, a in enumerate(unique):
+        for b in unique[:i]:
+            if (a ^ b).bit_count() <= 4:
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {c: find(c) for c in codes}
+
+
+@pytest.mark.parametrize("table", ["sf", "odd"])
+def test_simhash(spark, odd, docs, table):
+    df = odd if table == "odd" else spark.read.parquet(f"{SF}/documents.parquet")
+    rows = df.select("doc_id", "text").collect()
+    want = [(r["doc_id"], brute_fingerprint(r["text"])) for r in rows]
+    root = brute_components({f for _, f in want})
+    least = {}
+    for i, f in want:
+        if i is not None:
+            least[root[f]] = min(i, least.get(root[f], i))
+    got = simhash.simhash_components(df).collect()
+    key = lambda r: (str(r[0]), r[1])
+    assert sorted([(r["doc_id"], r["fingerprint"], r["component_id"]) for r in got], key=key) == sorted([(i, f"{f:016x}", least.get(root[f])) for i, f in want], key=key)
+
+
+def test_simhash_links_random_groups():
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
+    flips = np.array([np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, k).astype(np.uint64)) if k else np.uint64(0) for k in rng.integers(0, 6, 400)], np.uint64)
+    codes = rng.permutation(base[rng.integers(0, 40, 400)] ^ flips)
+    stops = np.array([1, 3, 70, 71, 300, 400])
+    ends = np.repeat(stops, np.diff(np.append(0, stops)))
+    i, j = simhash.links_in_groups(codes, ends)
+    assert all((int(codes[a]) ^ int(codes[b])).bit_count() <= 4 and b < ends[a] for a, b in zip(i, j))
+    for a, b in zip(np.append(0, stops[:-1]), stops):
+        want = brute_components({int(c) for c in codes[a:b]})
+        root = {int(c): int(c) for c in codes[a:b]}
+        inside = [(int(codes[p]), int(codes[q])) for p, q in zip(i, j) if a <= p < b]
+        for _ in range(len(root)):
+            for p, q in inside:
+                root[p] = root[q] = min(root[p], root[q])
+        assert len(set(want.values())) == len(set(root.values()))
+
+
+def test_simhash_large_bucket(spark):
+    """A bucket that is divided into chunks loses no link."""
+    rng = np.random.default_rng(2)
+    codes = sorted({int(x) & 0xFFFFF for x in rng.integers(0, 1 << 20, 500)})
+    df = spark.createDataFrame([(c,) for c in codes], "code long")
+    found = {r["node"]: r["root"] for r in simhash.components(simhash.near_pairs(df, chunk=64)).collect()}
+    assert {c: found.get(c, c) for c in codes} == brute_components(set(codes))
+
+
+def test_simhash_empty_and_drop(spark, odd, empty):
+    assert simhash.simhash_components(empty).count() == 0
+    kept = simhash.drop_near_duplicates(odd)
+    assert kept.columns == odd.columns and sorted(r["doc_id"] or 0 for r in kept.collect())[:3] == [0, 1, 2]
+    assert kept.where("doc_id = 5").count() == 1 and kept.where("doc_id in (3, 4)").count() == 0
+
+
+def test_token_counts(spark, odd, empty):
+    tok = Tokenizer.from_file(PATH)
+    for df in (odd, spark.read.parquet(f"{SF}/documents.parquet")):
+        want = [(r["doc_id"], len((r["text"] or "").encode()), len(tok.encode(r["text"] or "", add_special_tokens=False))) for r in df.collect()]
+        got = [(r["doc_id"], r["n_bytes"], r["n_tokens"]) for r in token_counts.token_counts(df, PATH, batch_bytes=20_000).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
+    assert token_counts.token_counts(empty, PATH).count() == 0
+    other = public_tokenizers.path("piece_bpe_32k.model")
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=other)
+    some = odd.where("doc_id in (1, 2, 7, 9)")
+    assert sorted((r["doc_id"], r["n_tokens"]) for r in token_counts.token_counts(some, other).collect()) == sorted((r["doc_id"], len(model.encode(r["text"] or ""))) for r in some.collect())
+
+
+def brute_quality(text):
+    text = text or ""
+    words = WORD.findall(text)
+    windows = Counter(tuple(words[i : i + 8]) for i in range(len(words) - 7))
+    covered = {k for i in range(len(words) - 7) if windows[tuple(words[i : i + 8])] > 1 for k in range(i, i + 8)}
+    seen, dup = set(), 0
+    for line in text.split("\n"):
+        if WORD.search(line):
+            dup += line in seen
+            seen.add(line)
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(covered)
+
+
+def test_quality(spark, odd, empty):
+    for df in (odd, spark.read.parquet(f"{SF}/documents.parquet")):
+        want = [(r["doc_id"], *brute_quality(r["text"])) for r in df.collect()]
+        got = quality.quality_rules(df, None).collect()
+        assert sorted([tuple(r)[:6] for r in got], key=str) == sorted(want, key=str)
+        assert all(r["base_failed"] == (r["n_words"] < 20 or 100 * r["n_repeat_words"] > 30 * r["n_words"]) and not (r["kept"] and r["base_failed"]) for r in got)
+    assert quality.quality_rules(empty, None).count() == 0
+    assert quality.keep_quality(odd, None).columns == odd.columns
+    assert quality.fit_quality(empty, spark.createDataFrame([], "doc_id long, quality int")) is None
+
+
+def test_trees_are_monotonic_and_learn():
+    rng = np.random.default_rng(0)
+    x = rng.random((3000, 3))
+    y = (x[:, 0] < 0.5).astype(float) * (rng.random(3000) < 0.95)
+    trees = quality.fit_trees(x, y, [-1, 0, 1], rounds=20)
+    line = np.stack([np.linspace(0, 1, 200), np.full(200, 0.3), np.full(200, 0.7)], axis=1)
+    assert (np.diff(trees.score(line)) <= 1e-12).all()
+    line = np.stack([np.full(200, 0.45), np.full(200, 0.3), np.linspace(0, 1, 200)], axis=1)
+    assert (np.diff(trees.score(line)) >= -1e-12).all()
+    assert ((trees.score(x) > 0.5) == (x[:, 0] < 0.5)).mean() > 0.95
+
+
+def test_quality_held_out(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    trees = quality.fit_quality(docs, labels.where("doc_id % 2 = 0"))
+    got = {r["doc_id"]: r for r in quality.quality_rules(docs, trees).collect()}
+    test = [(got[r["doc_id"]], r["quality"]) for r in labels.where("doc_id % 2 = 1").collect()]
+    assert np.mean([(g["quality_score"] >= trees.threshold) == bool(q) for g, q in test]) > 0.9
+
+
+@pytest.mark.parametrize("table", ["sf", "odd"])
+def test_token_store(spark, odd, empty, table):
+    df = odd if table == "odd" else spark.read.parquet(f"{SF}/documents.parquet")
+    tok = Tokenizer.from_file(PATH)
+    start, want = 0, []
+    for r in sorted(df.select("doc_id", "text").collect(), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["text"] or "")):
+        ids = [*tok.encode(r["text"] or "", add_special_tokens=False).ids, 2]
+        want.append((r["doc_id"], start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    got = token_store.token_store(df, PATH, file_ids=50_000, block=1000).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    if table == "odd":
+        assert token_store.token_store(empty, PATH).count() == 0
+
+
+@pytest.mark.parametrize("n, top, block", [(0, 5, 7), (1, 5, 7), (7, 5, 7), (8, 5, 7), (5000, 65536, 512), (5000, 3, 512), (4097, 49408, 4096)])
+def test_range_coder(n, top, block):
+    rng = np.random.default_rng(n)
+    ids = np.minimum(rng.zipf(1.3, n) % top, top - 1).astype(np.int64)
+    coded = token_store.encode_blocks(ids, block)
+    assert (token_store.decode_blocks(coded, n, block) == ids).all()
+    data = token_store.pack_file([1, None][: min(n, 2)], np.array([n - 1, 1][: min(n, 2)] if n > 1 else [n][:n]), ids, block)
+    assert (token_store.unpack_file(data)[2] == ids).all()
+    if n > 100:
+        assert sum(map(len, coded)) < n  # under 16 bits an id
+        broken = bytearray(data)
+        broken[-3] ^= 1
+        with pytest.raises(ValueError):
+            token_store.unpack_file(bytes(broken))
+
+
+def water_fill(sizes):
+    names = sorted((s for s in sizes if s is not None)) + [None] * (None in sizes)
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(names)}
+    left, target, free = 1.5 * sum(sizes.values()), {}, set(names)
+    while free:
+        level = left / sum(weight[s] for s in free)
+        over = {s for s in free if level * weight[s] > 2 * sizes[s]}
+        if not over:
+            target |= {s: level * weight[s] for s in free}
+            break
+        target |= {s: 2 * sizes[s] for s in over}
+        left -= sum(2 * sizes[s] for s in over)
+        free -= over
+    return target
+
+
+@pytest.mark.parametrize("table", ["sf", "odd"])
+def test_mixing(spark, odd, table):
+    df = odd if table == "odd" else spark.read.parquet(f"{SF}/documents.parquet")
+    rows = mixing.mix_plan(df, block_words=2000).collect()
+    assert sorted((r["doc_id"], r["size"]) for r in rows if r["doc_id"]) == sorted((r["doc_id"], len(WORD.findall(r["text"] or ""))) for r in df.collect() if r["doc_id"])
+    sizes = Counter()
+    taken = Counter()
+    for r in rows:
+        sizes[r["source"]] += r["size"]
+        taken[r["source"]] += r["taken"]
+        assert 0 <= r["taken"] <= 2 * r["size"] and r["shard"] is not None
+    target = water_fill(sizes)
+    assert all(abs(r["target"] - target[r["source"]]) < 1e-6 and r["source_size"] == sizes[r["source"]] for r in rows)
+    assert all(abs(taken[s] - target[s]) <= 0.5 for s in sizes)
+    assert sorted(map(str, mixing.mix_plan(df, block_words=2000).collect())) == sorted(map(str, rows))
+
+
+def test_mixing_tree_and_documents(spark, odd, empty):
+    blocks = spark.createDataFrame([("a", 1000), ("b", 10), ("c", 1), (None, 301)], "source string, blocks long")
+    rows = mixing.splitting_tree(blocks, levels=3).collect()
+    total = Counter()
+    for r in rows:
+        total[r["source"]] += r["n"]
+    assert total == {"a": 1000, "b": 10, "c": 1, None: 301}
+    by_shard = Counter()
+    for r in rows:
+        by_shard[r["shard"]] += r["n"]
+    assert max(by_shard.values()) - min(by_shard.values()) <= 3 and len(by_shard) == 8
+    shares = [r["n"] for r in rows if r["source"] == "a"]
+    assert 90 < min(shares) and max(shares) < 160
+    assert mixing.mix_plan(empty).count() == 0
+    mixed = mixing.mix_documents(odd)
+    plan = {r["doc_id"]: r["taken"] for r in mixing.mix_plan(odd).collect()}
+    assert mixed.columns == odd.columns
+    got = Counter()
+    for r in mixed.collect():
+        got[r["doc_id"]] += len(WORD.findall(r["text"]))
+    assert all(got[d] == plan[d] for d in plan if d not in (None, 5))  # 5 stands twice in the table
+
+
+def test_decontamination(spark, odd, empty):
+    rng = np.random.default_rng(0)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    say = lambda n: [vocabulary[i] for i in rng.integers(0, 3000, n)]
+    items = [say(int(n)) for n in rng.integers(12, 60, 30)]
+    bench = spark.createDataFrame([(i, " ".join(w), "x") for i, w in enumerate(items)] + [(90, None, "x"), (91, "too short", "x")], "item_id long, text string, score string")
+    rows, want = [], set()
+    for d in range(300):
+        words = say(200)
+        if d % 3 == 0:
+            item = d // 3 % 30
+            copy = [w if rng.random() > 0.15 * (d % 2) else vocabulary[rng.integers(0, 3000)] for w in items[item]]
+            if d % 5 == 0:
+                del copy[len(copy) // 2]
+            words[100:100] = copy
+            want.add((d, item))
+        rows.append((d, (" ".join(words) if d % 2 else ", ".join(words).upper()), "s"))
+    docs = spark.createDataFrame([*rows, (1000, None, "s"), (1001, "", "s"), (None, " ".join(items[3]), "s")], "doc_id long, text string, score string")
+    got = decontaminate.contaminated(docs, bench).collect()
+    pairs = {(r["doc_id"], r["item_id"]) for r in got if r["doc_id"] is not None}
+    assert len(pairs & want) >= 0.95 * len(want) and not pairs - want
+    assert any(r["doc_id"] is None and r["item_id"] == 3 and r["score"] == 1 for r in got)
+    kept = decontaminate.drop_contaminated(docs, bench)
+    assert kept.columns == docs.columns and kept.count() == docs.count() - len({d for d, _ in pairs})
+    none = spark.createDataFrame([], "item_id long, text string")
+    assert decontaminate.contaminated(docs, none).count() == 0 and decontaminate.contaminated(empty, bench).count() == 0
+    assert decontaminate.contaminated(odd, bench).count() == 0
+
+
+def test_alignment():
+    def brute(q, t):
+        h, best = np.zeros((len(q) + 1, len(t) + 1), int), 0
+        for i in range(1, len(q) + 1):
+            for j in range(1, len(t) + 1):
+                h[i, j] = max(0, h[i - 1, j - 1] + (2 if q[i - 1] == t[j - 1] else -1), h[i - 1, j] - 1, h[i, j - 1] - 1)
+                best = max(best, h[i, j])
+        return best
+
+    rng = np.random.default_rng(0)
+    pairs = [(rng.integers(0, 6, rng.integers(1, 20)), rng.integers(0, 6, rng.integers(0, 40))) for _ in range(80)]
+    assert decontaminate.align([q for q, _ in pairs], [t for _, t in pairs]).tolist() == [brute(q, t) for q, t in pairs]
+
+
+def test_language_id(spark, odd, empty):
+    rows = queries.op8_language_id(spark, "/root/testdata/sf0.01").collect()
+    true = {r["doc_id"]: r["lang"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    held = [r["lang_pred"] == true[r["doc_id"]] for r in rows if r["held_out"]]
+    assert np.mean(held) > 0.95 and len(rows) == 1000
+    trees = language_id.ContextTrees.fit({"xx": {b"abab": 3, b"ba": 1}, "yy": {b"zz": 2}}, 2)
+    # code lengths are those of a distribution: all continuations of a context sum to at most one
+    total = sum(2 ** -(trees.cost(b"a" + bytes([b]))[0] - trees.cost(b"a")[0]) for b in range(256))
+    assert 0.5 < total <= 1 + 1e-9
+    got = {r["doc_id"]: r for r in language_id.identify_languages(odd, trees).collect()}
+    assert all(got[i]["lang_pred"] == "und" and got[i]["score"] == 0 for i in (2, 3, 4, 9)) and got[1]["lang_pred"] in ("xx", "yy")
+    assert language_id.identify_languages(empty, trees).count() == 0
+    assert {r["lang_pred"] for r in language_id.identify_languages(odd, language_id.fit_languages(empty)).collect()} == {"und"}
+
+
+def test_warc(spark, empty, tmp_path):
+    rows = [(3, "u3", "a" * 200), (1, "u1\r\nX: y", "a" * 200), (2, None, "b" * 50), (4, "u4", "b" * 50), (5, "u5", None), (6, "u6", ""), (None, "u", "a" * 200), (1, "u1", "a" * 200), (7, "ü", "\r\n\r\nWARC/1.1\r\n" + "é" * 90_000)]
+    pages = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, payload string")
+    got = sorted([tuple(r) for r in warc.round_trip(pages).collect()], key=str)
+    want = []
+    for page, _, html in rows:
+        body = (html or "").encode()
+        first = min((p for p, _, h in rows if h == html and p is not None), default=None)
+        revisit = len(body) >= 100 and page != first
+        want.append((page, len(body), hashlib.sha256(body).hexdigest(), "revisit" if revisit else "response", first if revisit else None))
+    assert got == sorted(want, key=str)
+    assert warc.round_trip(pages.where("false")).count() == 0
+    folder = warc.archive_pages(pages, f"file://{tmp_path}/w", file_bytes=1000)
+    assert len([f for f in os.listdir(tmp_path / "w") if f.endswith(".warc")]) > 1
+    some = warc.read_warc(spark, folder).where("target_uri = 'u4' and record_type in ('response', 'x')")
+    assert "record_type" not in some._jdf.queryExecution().executedPlan().toString().split("Filter")[-1].split("Scan")[0] or some.count() == 1
+    assert [bytes(r["payload"]) for r in some.collect()] == [b"b" * 50]
+    assert warc.read_warc(spark, folder, payload="false").where("payload is not null").count() == 0
+
+
+def test_kneser_ney(spark, odd, empty):
+    texts = ["a b c a b", "A b d", "c", "", None, "a b c a b zz"]
+    docs = spark.createDataFrame([(i, t, 1.0) for i, t in enumerate(texts)], "doc_id long, text string, score double")
+    model = ngram_lm.fit_kneser_ney(docs, shards=3)
+    words = [[*WORD.findall((t or "").lower()), "</s>"] for t in texts]
+    uni = Counter(w for ws in words for w in ws)
+    pairs = Counter(p for ws in words for p in zip(["<s>", *ws], ws))
+    left = Counter(w for _, w in pairs)
+    n, v = sum(uni.values()), len(uni)
+    assert (model.tokens, model.distinct, model.texts, model.left_total) == (n, v, len(texts), len(pairs))
+    of = lambda c: [sum(x == k for x in c.values()) for k in range(5)]
+    assert model.pair_of[1:] == of(pairs)[1:] and model.left_of[1:] == of(left)[1:]
+    d2, d1 = ngram_lm.discounts(of(pairs)), ngram_lm.discounts(of(left))
+
+    def lower(w):
+        rest = sum(d1[min(c, 3)] for c in left.values()) / len(pairs)
+        return max(left[w] - d1[min(left[w], 3)], 0) / len(pairs) + rest / (v + 1)
+
+    def chance(h, w):
+        after = {b: c for (a, b), c in pairs.items() if a == h}
+        if not after:
+            return lower(w)
+        total = sum(after.values())
+        return max(after.get(w, 0) - d2[min(after.get(w, 0), 3)], 0) / total + sum(d2[min(c, 3)] for c in after.values()) / total * lower(w)
+
+    assert abs(sum(chance("a", w) for w in uni) + chance("a", "unknown") - 1) < 1e-9
+    test = [*texts, "b zz unknown a", "unknown"]
+    got = {r["doc_id"]: r for r in ngram_lm.score_texts(spark.createDataFrame(list(enumerate(test)), "doc_id long, text string"), model).collect()}
+    for i, t in enumerate(test):
+        ws = [*WORD.findall((t or "").lower()), "</s>"]
+        assert got[i]["n_tokens"] == len(ws) and got[i]["n_known"] == sum(uni[w] > 0 for w in ws)
+        assert abs(got[i]["base_score"] - sum(log10((uni[w] + 1) / (n + v + 1)) for w in ws)) < 1e-9
+        assert abs(got[i]["score"] - sum(log10(chance(h, w)) for h, w in zip(["<s>", *ws], ws))) < 1e-9
+    assert ngram_lm.score_texts(odd, ngram_lm.fit_kneser_ney(odd)).count() == 10
+    assert ngram_lm.score_texts(empty, model).count() == 0
+    nothing = ngram_lm.score_texts(odd, ngram_lm.fit_kneser_ney(empty)).collect()
+    assert len(nothing) == 10 and all(r["n_known"] == 0 and np.isfinite(r["score"]) for r in nothing)
+
+
+def test_lm_held_out(spark):
+    rows = queries.op10_lm_scoring(spark, "/root/testdata/sf0.01").collect()
+    held = [r for r in rows if r["held_out"]]
+    assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)

@@ -64,7 +64,7 @@ def _short(hashes: np.ndarray) -> np.ndarray:
 def _filter(grams: DataFrame) -> np.ndarray:
     """One bit for each hash of the seeds; made of the bits that are set, of which there are never more than 2^FILTER_BITS."""
     bit = F.shiftrightunsigned("gram", 64 - FILTER_BITS)
-    word = grams.select(F.shiftright(bit, 5).alias("w"), F.shiftleft(F.lit(1).cast("long"), bit.bitwiseAND(F.lit(31)).cast("int")).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
+    word = grams.select(F.shiftright(bit, 5).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(31)).cast("int")).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
     out = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
     got = word.toPandas()
     out[got["w"].to_numpy(np.int64)] = got["b"].to_numpy(np.int64).astype(np.uint32)

@@ -18,8 +18,8 @@ from trackweave.llm.common import WordTable, byte_groups, scratch, text_bytes, w
 
 MAGIC = b"TWID0001"
 #: File: magic, numbers of documents, ids, blocks and ids per block; documents (id, null flag, ids); crc of that; then each block's
-#: head (ids, coded 16-bit words, crc32 of its ids as little-endian 32-bit integers) and words.
-HEAD, BLOCK = struct.Struct("<8sQQII"), struct.Struct("<III")
+#: head (ids, coded 16-bit words, crc32 of its ids as little-endian 32-bit integers, crc32 of the words) and words.
+HEAD, BLOCK = struct.Struct("<8sQQII"), struct.Struct("<IIII")
 DOCS = np.dtype([("id", "<i8"), ("null", "u1"), ("n", "<u4")])
 TABLE = 1 << 11
 MASK, LEAST = np.uint64((1 << 48) - 1), np.uint64(1 << 32)
@@ -217,7 +217,8 @@ def pack_file(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray, bl
     parts = [head, struct.pack("<I", zlib.crc32(head))]
     for i, words in enumerate(coded):
         own = plain[i * block : (i + 1) * block]
-        parts += [BLOCK.pack(len(own), len(words), zlib.crc32(own.tobytes())), words.astype("<u2").tobytes()]
+        data = words.astype("<u2").tobytes()
+        parts += [BLOCK.pack(len(own), len(words), zlib.crc32(own.tobytes()), zlib.crc32(data)), data]
     return b"".join(parts)
 
 
@@ -228,9 +229,11 @@ def unpack_file(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     if magic != MAGIC or zlib.crc32(data[:stop]) != struct.unpack_from("<I", data, stop)[0]:
         raise ValueError("not a token file, or its head is damaged")
     docs, at, coded, sums = np.frombuffer(data[HEAD.size : stop], DOCS), stop + 4, [], []
-    for _ in range(n_blocks):
-        _, n, crc = BLOCK.unpack_from(data, at)
+    for i in range(n_blocks):
+        _, n, crc, own = BLOCK.unpack_from(data, at)
         at += BLOCK.size
+        if zlib.crc32(data[at : at + 2 * n]) != own:
+            raise ValueError(f"block {i} is damaged")
         coded.append(np.frombuffer(data, "<u2", n, at))
         sums.append(crc)
         at += 2 * n

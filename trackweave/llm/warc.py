@@ -120,9 +120,11 @@ class WarcReader(DataSourceReader):
             for f in lists:
                 with system.open_input_stream(f.path) as stored:
                     names += json.loads(stored.read())
-        return [WarcFile(f"{self.path}/{n}") for n in sorted(names)]
+        return [WarcFile(f"{self.path}/{n}") for n in sorted(names)] or [WarcFile("")]
 
     def read(self, partition: WarcFile) -> Iterator[pa.RecordBatch]:
+        if not partition.uri:  # no archive: Spark asks for one partition at least
+            return
         system, name = fs.FileSystem.from_uri(partition.uri)
         rows, size = [], 0
         with system.open_input_file(name) as stored:
