@@ -29,7 +29,7 @@ def _hashes(words: list[bytes]) -> np.ndarray:
 
 def text_hashes(texts: list[bytes]) -> list[np.ndarray]:
     if not _WORDS:
-        _WORDS.append(WordTable(_hashes))
+        _WORDS.append(WordTable(_hashes, 150_000))
     cut = [t.split() for t in texts]
     at = _WORDS[0].lookup([w for ws in cut for w in ws])
     flat = _WORDS[0].rows[at] if len(at) else np.zeros(0, np.uint64)

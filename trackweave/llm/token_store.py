@@ -260,15 +260,20 @@ class _Encoder:
             raise ValueError("ids over 16 bits")
         self.by_word, self.end_id = cuts_at_spaces(self.tokenizer), end_id
         self.flat: list[np.ndarray] = []
-        self.words = WordTable(self._rows)
+        self.words = WordTable(self._rows, 150_000)
 
     def _rows(self, words: list[bytes]) -> np.ndarray:
         if self.words.rows is None:
             self.store = np.zeros(0, np.uint16)
-        got = [[self.end_id] if w == b" " else e for w, e in zip(words, self._encode([b"" if w == b" " else w for w in words]))]
-        n = np.array([len(x) for x in got])
+        parts, counts = [self.store], []
+        for i in range(0, len(words), 8192):  # few encodings at a time: each is far larger than its ids
+            some = words[i : i + 8192]
+            got = [[self.end_id] if w == b" " else e for w, e in zip(some, self._encode([b"" if w == b" " else w for w in some]))]
+            counts.append(np.array([len(x) for x in got]))
+            parts.append(np.fromiter((i for x in got for i in x), np.uint16, int(counts[-1].sum())))
+        n = np.concatenate(counts)
         start = len(self.store) + np.cumsum(n) - n
-        self.store = np.concatenate([self.store, np.fromiter((i for x in got for i in x), np.uint16, int(n.sum()))])
+        self.store = np.concatenate(parts)
         return np.stack([start, n], axis=1)
 
     def _encode(self, texts: list[bytes]) -> list[list[int]]:
@@ -323,7 +328,7 @@ def write_token_files(df: DataFrame, path: str, *, folder: str | None = None, en
 
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), text_bytes(batch.column(1))
-            for a, b in byte_groups([len(t) for t in texts], 4 << 20):
+            for a, b in byte_groups([len(t) for t in texts], 1 << 20):
                 got, n = encode(texts[a:b])
                 doc_ids += ids[a:b]
                 counts.append(n)
