@@ -165,7 +165,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, n: int = 4, threshold
     """
     items = written(item_seeds(benchmark, n), "items")
     grams = items.select(F.explode("grams").alias("gram")).distinct()
-    counts = gram_counts(docs, grams, n)
+    counts = written(gram_counts(docs, grams, n), "gram-counts")
     seeds = written(rare_seeds(items, counts), "seeds")
     found = written(seed_hits(docs, seeds.select("gram").distinct(), n), "hits")
     pairs = found.select("doc_id", "row", F.explode(F.arrays_zip("grams", "places")).alias("x")).select("doc_id", "row", F.col("x.grams").alias("gram"), F.col("x.places").alias("pos"))
