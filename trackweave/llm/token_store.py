@@ -25,6 +25,8 @@ TABLE = 1 << 11
 MASK, LEAST = np.uint64((1 << 48) - 1), np.uint64(1 << 32)
 U16, U32, U48 = np.uint64(16), np.uint64(32), np.uint64(48)
 STEP, REBUILD = 24, 128
+#: Bytes of text a writing task takes; larger inputs get larger tasks instead of more than MOST_TASKS.
+TASK_BYTES, MOST_TASKS = 16 << 20, 20_000
 
 
 class _Mixer:
@@ -339,14 +341,24 @@ def write_token_files(df: DataFrame, path: str, *, folder: str | None = None, en
         if doc_ids:
             yield save()
 
-    docs = df.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    size = df.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    tasks = min(size // TASK_BYTES + 1, MOST_TASKS)
+    docs = df.select(F.col("doc_id").cast("long"), "text").repartitionByRange(tasks, "doc_id").sortWithinPartitions("doc_id", "text")
     return written(docs.mapInArrow(run, "path string, part int, seq int, n_docs long, n_ids long"), "manifest")
 
 
 def read_token_files(manifest: DataFrame) -> DataFrame:
-    """Per document of the files: doc_id, start, n_tokens, ids_crc32, after decoding and checking every block."""
-    order = Window.orderBy("part", "seq")
-    files = manifest.withColumn("start", F.sum("n_ids").over(order) - F.col("n_ids")).select("path", "start")
+    """Per document of the files: doc_id, start, n_tokens, ids_crc32, after decoding and checking every block.
+
+    Only the parts' totals, at most MOST_TASKS rows, are summed in one task;
+    files are dealt by a stated number, as their paths are too few bytes for
+    adaptive execution to keep them apart.
+    """
+    parts = manifest.groupBy("part").agg(F.sum("n_ids").alias("ids"))
+    before = parts.select("part", (F.sum("ids").over(Window.orderBy("part")) - F.col("ids")).alias("before"))
+    own = F.sum("n_ids").over(Window.partitionBy("part").orderBy("seq")) - F.col("n_ids")
+    files = manifest.select("path", "part", own.alias("own")).join(before, "part").select("path", (F.col("before") + F.col("own")).alias("start"))
+    tasks = max(1, min(manifest.count(), MOST_TASKS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -358,7 +370,7 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                 sums = [zlib.crc32(plain[e - n : e].tobytes()) for e, n in zip(ends.tolist(), counts.tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(start + ends - counts), pa.array(counts), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return files.repartition("path").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.repartitionByRange(tasks, "start").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_store(df: DataFrame, path: str, **options) -> DataFrame:
