@@ -11,6 +11,8 @@ from trackweave.functions import scalars as S
 from trackweave.operators import aggregates as A
 from trackweave.operators import identity as I
 from trackweave.operators import joins as J
+from trackweave.operators import stateful as SF
+from trackweave.operators import vectors as V
 from trackweave.operators import windows as W
 from trackweave.streaming import windows as ST
 
@@ -384,3 +386,55 @@ def cache_miss_antijoin(spark, sf_dir):
 
     keyed = lambda t: table(spark, sf_dir, t).withColumn("key", F.sha2("text", 256))
     return cache_misses(keyed("benchmark"), keyed("documents"), "key").select("item_id", "text")
+
+
+@query(None)
+def kalman_positions(spark, sf_dir):
+    seen = observations(spark, sf_dir).withColumn("x", F.when(F.col("frame") % 4 != 0, F.col("x")))
+    return SF.kalman_positions(seen, ["track_id"], "frame", "x", "y").withColumn("filter_x", F.round("filter_x", 4)).withColumn("filter_y", F.round("filter_y", 4))
+
+
+@query(None)
+def object_selection(spark, sf_dir):
+    o = observations(spark, sf_dir).withColumn("at", F.floor(F.col("frame") / 5))
+    boxes = o.select(F.col("team_id"), "at", F.col("frame").alias("candidate"), "confidence", F.col("x").alias("x1"), F.col("y").alias("y1"), (F.col("x") + 8).alias("x2"), (F.col("y") + 8).alias("y2"))
+    return SF.select_object(boxes, ["team_id"], "at", frame_area=1e6, max_area=0.001, size_penalty=0.2, acquire=0.1, reach=60, reach_cap=300, near=40, distance_penalty=0.3, after_miss=0.05, forget=12).withColumn("score", F.round("score", 6)).withColumn("moved", F.round("moved", 6))
+
+
+def session_spans(spark, sf_dir) -> DataFrame:
+    ends = [f(F.col(c), F.col("frame")).alias(f"{n}_{c}") for n, f in (("first", F.min_by), ("last", F.max_by)) for c in "xy"]
+    return session_rows(spark, sf_dir).groupBy((F.col("track_id") % 16).alias("video"), "track_id", "session").agg(
+        F.min("frame").alias("id"), F.min("frame").alias("start"), F.max("frame").alias("end"), *ends, F.first("team_id").alias("team"), F.avg("confidence").alias("team_confidence")
+    ).withColumn("look", F.array(F.col("first_x"), F.col("last_x")))
+
+
+@query(None)
+def span_links(spark, sf_dir):
+    spans = session_spans(spark, sf_dir)
+    found = SF.link_candidates(spans, "video", max_gap=400, max_distance=120, same_team=SF.teams_agree(), min_cosine=0.72)
+    return SF.link_spans(spans, found, "video", max_gap=400)
+
+
+@query("""SELECT a.video, a.id AS source, b.id AS target, b.start - a.end AS gap, round(sqrt((b.first_x - a.last_x) ** 2 + (b.first_y - a.last_y) ** 2), 6) AS distance FROM t a JOIN t b ON a.video = b.video AND b.start - a.end BETWEEN 1 AND 400
+WHERE sqrt((b.first_x - a.last_x) ** 2 + (b.first_y - a.last_y) ** 2) <= 120 AND NOT (a.team <> b.team AND a.conf >= 0.65 AND b.conf >= 0.65)""", OBS + """,
+t AS (SELECT track_id % 16 AS video, min(frame) AS id, min(frame) AS start, max(frame) AS end, min(team_id) AS team, avg(confidence) AS conf, arg_min(x, frame) AS first_x, arg_max(x, frame) AS last_x, arg_min(y, frame) AS first_y, arg_max(y, frame) AS last_y FROM s GROUP BY track_id, session)""")
+def span_link_candidates(spark, sf_dir):
+    spans = session_spans(spark, sf_dir).withColumn("look", F.lit(None).cast("array<double>"))
+    found = SF.link_candidates(spans, "video", max_gap=400, max_distance=120, same_team=SF.teams_agree(), min_cosine=0.72)
+    return found.select("video", "source", "target", "gap", F.round("distance", 6).alias("distance"))
+
+
+UNIT = """u AS (SELECT label, pos, avg(v) AS m FROM (SELECT label, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings) GROUP BY label, pos),
+n AS (SELECT label, sqrt(sum(m * m)) AS norm FROM u GROUP BY label)"""
+
+
+@query("SELECT u.label, u.pos::INTEGER AS pos, round(m / norm, 5) AS value FROM u JOIN n ON u.label IS NOT DISTINCT FROM n.label WHERE norm > 0", UNIT)
+def mean_embedding(spark, sf_dir):
+    means = V.mean_vectors(table(spark, sf_dir, "embeddings"), "label", "embedding")
+    return means.select("label", F.posexplode("vector").alias("pos", "value")).withColumn("value", F.round("value", 5))
+
+
+@query(None)
+def centroid_labels(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    return V.nearest_vector(rows, "vec_id", "embedding", V.mean_vectors(rows, "label", "embedding"), "label").withColumn("similarity", F.round("similarity", 5))
