@@ -21,102 +21,103 @@ MAGIC = b"TWID0001"
 #: head (ids, coded 16-bit words, crc32 of its ids as little-endian 32-bit integers, crc32 of the words) and words.
 HEAD, BLOCK = struct.Struct("<8sQQII"), struct.Struct("<IIII")
 DOCS = np.dtype([("id", "<i8"), ("null", "u1"), ("n", "<u4")])
-TABLE = 1 << 11
+#: Places of the order-2 table, and the weight of an id seen against one unseen.
+ORDER2, STEP = 1 << 20, 32
 MASK, LEAST = np.uint64((1 << 48) - 1), np.uint64(1 << 32)
-U16, U32, U48 = np.uint64(16), np.uint64(32), np.uint64(48)
-STEP, REBUILD = 24, 128
+U16, U32 = np.uint64(16), np.uint64(32)
 #: Bytes of text a writing task takes; larger inputs get larger tasks instead of more than MOST_TASKS.
 TASK_BYTES, MOST_TASKS = 16 << 20, 20_000
 
 
 class _Mixer:
-    """Predictions of many blocks side by side, one lane each; every lane starts anew.
+    """The model of one block, shared by its lanes; every block starts anew.
 
     Orders 2 and 1 each predict one id, the last confirmed after the same two
     ids or one id, with a confidence of 0 to 3. Whether the order-2 id, the
-    order-1 id or neither follows is coded with the sum of three sets of
-    counts, kept by order-2 confidence, by order-1 confidence and for the
-    block: each order speaks with the weight of what it has seen. Other ids
-    take order 0: their high and low bytes under counts of this block.
+    order-1 id or neither follows is coded under a mix of what was counted at
+    this pair of confidences, at each of them alone and in the whole block, so
+    that contexts seen little lean on wider ones. Other ids take order 0,
+    counts of the block's ids that neither predicted. Predicted ids adapt at
+    every step, the counts when an eighth more ids have been seen; all sums are
+    of whole numbers, so that both sides agree on every machine.
     """
 
-    def __init__(self, lanes: int):
-        self.lane = np.arange(lanes)
-        self.base = self.lane * TABLE
-        self.guess2, self.guess1 = np.zeros(lanes * TABLE, np.int32), np.zeros(lanes * TABLE, np.int32)
-        self.sure2, self.sure1 = np.zeros(lanes * TABLE, np.int8), np.zeros(lanes * TABLE, np.int8)
-        self.kinds = np.ones((3, lanes * 8, 3), np.int32)  # order 2, order 1 (with agreement), block
+    def __init__(self, lanes: int, top: int):
+        self.two, self.one = np.zeros(ORDER2, np.int32), np.zeros(1 << 16, np.int32)  # confidence << 16 | id
         self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        self.high = np.ones((lanes, 256), np.int32)
-        self.low = np.ones((lanes * 4, 256), np.int32)
+        self.kinds, self.ids = np.ones((4, 8, 3), np.int64), np.ones(top, np.int64)
+        self.kept: list[tuple[np.ndarray, np.ndarray]] = []
+        self.seen, self.due = 0, 0
         self.rebuild()
 
     def rebuild(self) -> None:
-        """Cumulative counts of order 0; in between they stay, so a rebuild costs little to an id."""
-        self.sum_high = np.zeros((len(self.high), 257), np.int64)
-        self.sum_low = np.zeros((len(self.low), 257), np.int64)
-        np.cumsum(self.high, axis=1, out=self.sum_high[:, 1:])
-        np.cumsum(self.low, axis=1, out=self.sum_low[:, 1:])
-        self.sum_high, self.sum_low = self.sum_high.ravel(), self.sum_low.ravel()
+        if self.kept:
+            self.kinds += np.bincount(np.concatenate([c for c, _ in self.kept]), minlength=96).reshape(4, 8, 3)
+            self.ids += STEP * np.bincount(np.concatenate([r for _, r in self.kept]), minlength=len(self.ids))
+            self.kept = []
+        self.due = self.seen + self.seen // 8 + 1
+        wide = [self.kinds.sum(axis=1, keepdims=True), self.kinds.sum(axis=0, keepdims=True), self.kinds.sum(axis=(0, 1), keepdims=True)]
+        mixed = self.kinds * 256 + sum(w * 1024 // w.sum(axis=2, keepdims=True) for w in wide)
+        sums = np.zeros((32, 4), np.int64)
+        sums[:, 1:] = np.cumsum(mixed, axis=2).reshape(32, 3)
+        scaled = sums * ((1 << 16) - 3) // sums[:, 3:] + np.arange(4)
+        self.first, self.second = scaled[:, 1].copy(), scaled[:, 2].copy()
+        self.start, self.width = scaled[:, :3].ravel().astype(np.uint64), np.diff(scaled, axis=1).ravel().astype(np.uint64)
+        self.sums = np.zeros(len(self.ids) + 1, np.int64)
+        np.cumsum(self.ids, out=self.sums[1:])
+        self.total = np.uint64(self.sums[-1])
 
     def predict(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For the first n lanes: the ids of orders 2 and 1, and cumulative counts of the three kinds."""
-        last, base = self.last[:n], self.base[:n]
-        self.at2 = base + ((last * 40503 + self.before[:n] * 60493) >> 5 & (TABLE - 1))
-        self.at1 = base + (last & (TABLE - 1))
-        two, one = self.guess2[self.at2], self.guess1[self.at1]
-        lane8 = self.lane[:n] * 8
-        self.context = (lane8 + self.sure2[self.at2], lane8 + self.sure1[self.at1] * 2 + (two == one), lane8)
-        counts = self.kinds[0][self.context[0]] * 4
-        counts += self.kinds[1][self.context[1]] * 2
-        counts += self.kinds[2][self.context[2]]
-        return two, one, np.cumsum(counts, axis=1)
-
-    def update(self, ids: np.ndarray, two: np.ndarray, one: np.ndarray, kind: np.ndarray) -> None:
-        n = len(ids)
-        for counts, context in zip(self.kinds, self.context):
-            counts[context, kind] += 2
-        for guess, sure, at, was in ((self.guess2, self.sure2, self.at2, two), (self.guess1, self.sure1, self.at1, one)):
-            hit, had = was == ids, sure[at]
-            sure[at] = np.where(hit, np.minimum(had + 1, 3), np.maximum(had - 1, 1))
-            guess[at] = np.where(hit | (had > 1), was, ids)
+        """For the first n lanes: the ids of orders 2 and 1, and the context of their confidences."""
+        last = self.last[:n]
+        self.at = (last * 40503 + self.before[:n] * 2654435761) >> 5 & (ORDER2 - 1), last
+        self.was = self.two.take(self.at[0]), self.one.take(last)
+        two, one = self.was[0] & 0xFFFF, self.was[1] & 0xFFFF
+        return two, one, (self.was[0] >> 16) * 8 + (self.was[1] >> 16) * 2 + (two == one)
+
+    def update(self, ids: np.ndarray, two: np.ndarray, one: np.ndarray, context: np.ndarray, rest: np.ndarray) -> None:
+        """context: three times the context plus the kind coded; rest: the ids coded under order 0."""
+        n, fresh = len(ids), (ids | 1 << 16).astype(np.int32)
+        for table, at, was, guess in ((self.two, self.at[0], self.was[0], two), (self.one, self.at[1], self.was[1], one)):
+            lost = np.where(was >= 2 << 16, was - (1 << 16), fresh)
+            table[at] = np.where(guess == ids, np.minimum(was + (1 << 16), guess | 3 << 16), lost)  # lanes at one place: the last counts
         self.before[:n] = self.last[:n]
         self.last[:n] = ids
+        self.kept.append((context, rest))
+        self.seen += n
+        if self.seen >= self.due:
+            self.rebuild()
 
-    def learn(self, lanes: np.ndarray, high: np.ndarray, low: np.ndarray) -> None:
-        self.high[lanes, high] += STEP
-        self.low[lanes * 4 + np.minimum(high, 3), low] += STEP
 
+def _lanes(n: int) -> tuple[int, int, int]:
+    """For a block of n ids: ids to a lane, lanes, and ids of the last lane."""
+    length = max(64, min(512, n >> 9))
+    return length, -(-n // length), n - (n - 1) // length * length
 
-def _divided(n: int, block: int) -> tuple[int, int]:
-    return -(-n // block), n - (n - 1) // block * block if n else 0
 
-
-def encode_blocks(ids: np.ndarray, block: int) -> list[np.ndarray]:
-    """The coded words of each run of block ids (the last may be shorter)."""
-    lanes, short = _divided(len(ids), block)
-    if not lanes:
-        return []
-    padded = np.zeros(lanes * block, np.int64)
+def _encode_block(ids: np.ndarray) -> np.ndarray:
+    """Highest id, then how many words each lane has, then the lanes' words; each lane has a range coder of its own."""
+    length, lanes, short = _lanes(len(ids))
+    if (top := int(ids.max()) + 1) > 1 << 16:
+        raise ValueError("ids over 16 bits")
+    padded = np.zeros(lanes * length, np.int64)
     padded[: len(ids)] = ids
-    table, mixer = padded.reshape(lanes, block), _Mixer(lanes)
+    table, mixer, every = np.ascontiguousarray(padded.reshape(lanes, length).T), _Mixer(lanes, top), np.arange(lanes)
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, MASK)
-    out, used = np.zeros((lanes, block * 4 + 8), np.uint16), np.zeros(lanes, np.int64)
-
-    def put(at: np.ndarray, start: np.ndarray, size: np.ndarray, total: np.ndarray) -> None:
-        part = span[at] // total.astype(np.uint64)
-        below = low[at] + part * start.astype(np.uint64)
-        width = part * size.astype(np.uint64)
-        over = np.flatnonzero(below > MASK)
-        for i in over.tolist():  # a carry runs back through the words written
-            j = used[at[i]] - 1
-            while out[at[i], j] == 0xFFFF:
-                out[at[i], j] = 0
-                j -= 1
-            out[at[i], j] += 1
-        below &= MASK
-        few = width < LEAST
-        if few.any():
+    out, used = np.zeros((lanes, length * 4 + 8), np.uint16), np.zeros(lanes, np.int64)
+
+    def carried(below: np.ndarray, at: np.ndarray) -> np.ndarray:
+        over = at[below > MASK]
+        back = used[over] - 1
+        while len(over):  # a carry runs back through the words written
+            out[over, back] += 1
+            on = out[over, back] == 0
+            over, back = over[on], back[on] - 1
+        return below & MASK
+
+    def put(at: np.ndarray, part: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
+        below, width = carried(low[at] + part * start, at), part * size
+        while len(few := np.flatnonzero(width < LEAST)):
             which = at[few]
             out[which, used[which]] = below[few] >> U32
             used[which] += 1
@@ -124,90 +125,75 @@ def encode_blocks(ids: np.ndarray, block: int) -> list[np.ndarray]:
             width[few] <<= U16
         low[at], span[at] = below, width
 
-    for t in range(min(block, len(ids))):
+    for t in range(min(length, len(ids))):
         n = lanes if t < short else lanes - 1
-        if t and t % REBUILD == 0:
-            mixer.rebuild()
-        now, at = table[:n, t], mixer.lane[:n]
-        two, one, sums = mixer.predict(n)
+        now = table[t, :n]
+        two, one, context = mixer.predict(n)
         kind = np.where(now == two, 0, np.where(now == one, 1, 2))
-        end = sums[at, kind]
-        start = np.where(kind == 0, 0, sums[at, kind - 1])
-        put(at, start, end - start, sums[:, 2])
+        context = context * 3 + kind
+        put(every[:n], span[:n] >> U16, mixer.start.take(context), mixer.width.take(context))
         rest = np.flatnonzero(kind == 2)
+        other = now[rest]
         if len(rest):
-            high, tail = now[rest] >> 8, now[rest] & 255
-            row = rest * 257
-            start = mixer.sum_high[row + high]
-            put(rest, start, mixer.sum_high[row + high + 1] - start, mixer.sum_high[row + 256])
-            row = (rest * 4 + np.minimum(high, 3)) * 257
-            start = mixer.sum_low[row + tail]
-            put(rest, start, mixer.sum_low[row + tail + 1] - start, mixer.sum_low[row + 256])
-            mixer.learn(rest, high, tail)
-        mixer.update(now, two, one, kind)
-    coded = []
-    for i in range(lanes):
-        end = [(int(low[i]) >> s) & 0xFFFF for s in (32, 16, 0)]
-        coded.append(np.append(out[i, : used[i]], np.array(end, np.uint16)))
-    return coded
-
-
-def decode_blocks(coded: list[np.ndarray], n_ids: int, block: int) -> np.ndarray:
-    """The ids of encode_blocks."""
-    lanes, short = _divided(n_ids, block)
-    if not lanes:
-        return np.zeros(0, np.int64)
-    size = np.array([len(c) for c in coded])
-    words = np.concatenate([np.append(c, np.zeros(2, np.uint16)) for c in coded]).astype(np.uint64)
-    at_word = np.cumsum(size + 2) - size - 2 + 3
+            start = mixer.sums.take(other)
+            put(rest, span[rest] // mixer.total, start.astype(np.uint64), (mixer.sums.take(other + 1) - start).astype(np.uint64))
+        mixer.update(now, two, one, context, other)
+    low = carried(low + np.uint64(0xFFFF), every)  # two words stay within the span, whatever follows them
+    out[every, used], out[every, used + 1] = low >> U32, low >> U16 & np.uint64(0xFFFF)
+    size = used + 2
+    return np.concatenate([[np.uint16(top - 1)], size.astype(np.uint16), out[np.arange(out.shape[1]) < size[:, None]]])
+
+
+def _decode_block(coded: np.ndarray, n_ids: int) -> np.ndarray:
+    length, lanes, short = _lanes(n_ids)
+    size, mixer, every = coded[1 : lanes + 1].astype(np.int64), _Mixer(lanes, int(coded[0]) + 1), np.arange(lanes)
+    words = np.zeros(int(size.sum()) + 4, np.uint64)  # past its own words a lane may read any
+    words[:-4] = coded[lanes + 1 :]
+    at_word = np.cumsum(size) - size + 3
     code = words[at_word - 3] << U32 | words[at_word - 2] << U16 | words[at_word - 1]
-    span, mixer = np.full(lanes, MASK), _Mixer(lanes)
-    out = np.zeros((lanes, block), np.int64)
+    span, out = np.full(lanes, MASK), np.zeros((length, lanes), np.uint16)
 
     def take(at: np.ndarray, part: np.ndarray, start: np.ndarray, width: np.ndarray) -> None:
-        value = code[at] - part * start.astype(np.uint64)
-        width = part * width.astype(np.uint64)
-        few = width < LEAST
-        if few.any():
+        value, width = code[at] - part * start, part * width
+        while len(few := np.flatnonzero(width < LEAST)):
             which = at[few]
-            value[few] = value[few] << U16 | words[at_word[which]]
+            value[few] = value[few] << U16 | words.take(at_word[which], mode="clip")
             width[few] <<= U16
             at_word[which] += 1
         code[at], span[at] = value, width
 
-    def byte(at: np.ndarray, sums: np.ndarray, row: np.ndarray) -> np.ndarray:
-        total = sums[row + 256]
-        part = span[at] // total.astype(np.uint64)
-        value = np.minimum((code[at] // part).astype(np.int64), total - 1)
-        found = np.zeros(len(at), np.int64)
-        for bit in (128, 64, 32, 16, 8, 4, 2, 1):
-            found += np.where(sums[row + found + bit] <= value, bit, 0)
-        start = sums[row + found]
-        take(at, part, start, sums[row + found + 1] - start)
-        return found
-
-    for t in range(min(block, n_ids)):
+    for t in range(min(length, n_ids)):
         n = lanes if t < short else lanes - 1
-        if t and t % REBUILD == 0:
-            mixer.rebuild()
-        at = mixer.lane[:n]
-        two, one, sums = mixer.predict(n)
-        part = span[:n] // sums[:, 2].astype(np.uint64)
-        value = np.minimum((code[:n] // part).astype(np.int64), sums[:, 2] - 1)
-        kind = (value >= sums[:, 0]).astype(np.int64) + (value >= sums[:, 1])
-        end = sums[at, kind]
-        start = np.where(kind == 0, 0, sums[at, kind - 1])
-        take(at, part, start, end - start)
+        two, one, context = mixer.predict(n)
+        part = span[:n] >> U16
+        value = np.minimum((code[:n] // part).astype(np.int64), (1 << 16) - 1)
+        kind = (value >= mixer.first.take(context)).astype(np.int64) + (value >= mixer.second.take(context))
+        context = context * 3 + kind
+        take(every[:n], part, mixer.start.take(context), mixer.width.take(context))
         now = np.where(kind == 0, two, one).astype(np.int64)
         rest = np.flatnonzero(kind == 2)
+        other = rest
         if len(rest):
-            high = byte(rest, mixer.sum_high, rest * 257)
-            tail = byte(rest, mixer.sum_low, (rest * 4 + np.minimum(high, 3)) * 257)
-            now[rest] = high << 8 | tail
-            mixer.learn(rest, high, tail)
-        out[:n, t] = now
-        mixer.update(now, two, one, kind)
-    return out.ravel()[:n_ids]
+            part = span[rest] // mixer.total
+            value = np.minimum((code[rest] // part).astype(np.int64), mixer.sums[-1] - 1)
+            other = np.searchsorted(mixer.sums, value, side="right") - 1
+            start = mixer.sums.take(other)
+            take(rest, part, start.astype(np.uint64), (mixer.sums.take(other + 1) - start).astype(np.uint64))
+            now[rest] = other
+        out[t, :n] = now
+        mixer.update(now, two, one, context, other)
+    return out.T.ravel()[:n_ids]
+
+
+def encode_blocks(ids: np.ndarray, block: int) -> list[np.ndarray]:
+    """The coded 16-bit words of each run of block ids (the last may be shorter)."""
+    return [_encode_block(ids[i : i + block]) for i in range(0, len(ids), block)]
+
+
+def decode_blocks(coded: list[np.ndarray], n_ids: int, block: int) -> np.ndarray:
+    """The ids of encode_blocks."""
+    parts = [_decode_block(c, min(block, n_ids - i * block)) for i, c in enumerate(coded)]
+    return np.concatenate([np.zeros(0, np.uint16), *parts])
 
 
 def pack_file(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray, block: int) -> bytes:
@@ -298,7 +284,7 @@ class _Encoder:
 _ENCODERS: dict[tuple[str, int], _Encoder] = {}
 
 
-def write_token_files(df: DataFrame, path: str, *, folder: str | None = None, end_id: int = 2, file_ids: int = 1 << 22, block: int = 4096) -> DataFrame:
+def write_token_files(df: DataFrame, path: str, *, folder: str | None = None, end_id: int = 2, file_ids: int = 1 << 22, block: int = 1 << 20) -> DataFrame:
     """Encode the texts of df (doc_id, text) in ascending doc_id order into token files; returns their manifest.
 
     Manifest rows: path, part, seq, n_docs, n_ids, in order of (part, seq). A
