@@ -7,6 +7,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -233,8 +234,16 @@ def unpack_file(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     return [None if d["null"] else int(d["id"]) for d in docs], docs["n"].astype(np.int64), ids
 
 
+#: Words that a worker's table holds before it becomes the older one of two.
+HELD_WORDS = 120_000
+
+
 class _Encoder:
-    """ids of texts by whole words, each distinct word encoded once while the table holds it."""
+    """ids of texts by whole words, each distinct word encoded once while one of two tables holds it.
+
+    A full table becomes the older one, from which words still in use are
+    copied; so memory has a bound and only rare words are encoded again.
+    """
 
     def __init__(self, path: str, end_id: int):
         from tokenizers import Tokenizer
@@ -247,22 +256,53 @@ class _Encoder:
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids over 16 bits")
         self.by_word, self.end_id = cuts_at_spaces(self.tokenizer), end_id
-        self.flat: list[np.ndarray] = []
-        self.words = WordTable(self._rows, 150_000)
+        self.mark = self._mark()
+        self.older: tuple[dict[bytes, int], np.ndarray, np.ndarray] = ({}, np.zeros((0, 2), np.int64), np.zeros(0, np.uint16))
+        self._begin()
+
+    def _begin(self) -> None:
+        self.words, self.store = WordTable(self._rows, 1 << 62), np.zeros(0, np.uint16)
+
+    def _mark(self) -> tuple[bytes, int] | None:
+        """A caseless symbol that stands as one id of its own: a word without it never has that id."""
+        for symbol in "©®°±§¶†•":
+            ids = self.tokenizer.encode(f"a {symbol} a", add_special_tokens=False).ids
+            if len(ids) == 3 and self.tokenizer.encode(f"{symbol}", add_special_tokens=False).ids == [ids[1]]:
+                return symbol.encode(), ids[1]
+        return None
 
     def _rows(self, words: list[bytes]) -> np.ndarray:
-        if self.words.rows is None:
-            self.store = np.zeros(0, np.uint16)
-        parts, counts = [self.store], []
-        for i in range(0, len(words), 8192):  # few encodings at a time: each is far larger than its ids
-            some = words[i : i + 8192]
-            got = [[self.end_id] if w == b" " else e for w, e in zip(some, self._encode([b"" if w == b" " else w for w in some]))]
-            counts.append(np.array([len(x) for x in got]))
-            parts.append(np.fromiter((i for x in got for i in x), np.uint16, int(counts[-1].sum())))
-        n = np.concatenate(counts)
-        start = len(self.store) + np.cumsum(n) - n
+        parts, rows, used = [self.store], np.zeros((len(words), 2), np.int64), len(self.store)
+
+        def keep(at: np.ndarray, ids: np.ndarray, n: np.ndarray) -> None:
+            nonlocal used
+            rows[at] = np.stack([used + np.cumsum(n) - n, n], axis=1)
+            parts.append(ids)
+            used += len(ids)
+
+        index, had, ids = self.older
+        was = np.fromiter(map(index.get, words, repeat(-1)), np.int64, len(words))
+        if (was >= 0).any():
+            start, n = had[was[was >= 0]].T
+            keep(np.flatnonzero(was >= 0), ids[_runs(start, n)], n)
+        joined = np.array([bool(self.mark) and w != b" " and self.mark[0] not in w for w in words])
+        together, alone = np.flatnonzero(joined & (was < 0)), np.flatnonzero(~joined & (was < 0))
+        for i in range(0, len(together), 8192):  # few at a time: encodings are far larger than their ids
+            at = together[i : i + 8192]
+            some = [words[j] for j in at.tolist()]
+            between = b" " + self.mark[0] + b" "
+            texts = [between.join([*some[j : j + 128], b""]) for j in range(0, len(some), 128)]
+            ids = np.concatenate([np.array(x, np.uint16) for x in self._encode(texts)])
+            own = ids != self.mark[1]
+            ends = np.flatnonzero(~own)
+            keep(at, ids[own], np.diff(ends, prepend=-1) - 1)
+        for i in range(0, len(alone), 8192):
+            at = alone[i : i + 8192]
+            some = [words[j] for j in at.tolist()]
+            got = [[self.end_id] if w == b" " else ids for w, ids in zip(some, self._encode(some))]
+            keep(at, np.fromiter((x for ids in got for x in ids), np.uint16), np.array([len(x) for x in got]))
         self.store = np.concatenate(parts)
-        return np.stack([start, n], axis=1)
+        return rows
 
     def _encode(self, texts: list[bytes]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
@@ -271,14 +311,21 @@ class _Encoder:
         """(ids of all texts, each with its end id; how many for each)."""
         if not self.by_word:
             got = [[*x, self.end_id] for x in self._encode(texts)]
-            return np.array([i for x in got for i in x], np.int64), np.array([len(x) for x in got])
+            return np.array([i for x in got for i in x], np.uint16), np.array([len(x) for x in got])
+        if len(self.words.index) > HELD_WORDS:
+            self.older = self.words.index, self.words.rows, self.store
+            self._begin()
         words = [[*t.split(), b" "] for t in texts]
         at = self.words.lookup([w for ws in words for w in ws])
         start, n = self.words.rows[at].T
-        ends = np.cumsum(n)
-        ids = self.store[np.repeat(start - ends + n, n) + np.arange(int(ends[-1]))].astype(np.int64)
         last = np.cumsum([len(ws) for ws in words]) - 1
-        return ids, np.diff(np.concatenate([[0], ends[last]]))
+        return self.store[_runs(start, n)], np.diff(np.cumsum(n)[last], prepend=0)
+
+
+def _runs(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Places start, start + 1, ... of each run of n."""
+    ends = np.cumsum(n)
+    return np.repeat(start - ends + n, n) + np.arange(int(ends[-1]) if len(n) else 0)
 
 
 _ENCODERS: dict[tuple[str, int], _Encoder] = {}
@@ -316,7 +363,7 @@ def write_token_files(df: DataFrame, path: str, *, folder: str | None = None, en
 
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), text_bytes(batch.column(1))
-            for a, b in byte_groups([len(t) for t in texts], 1 << 20):
+            for a, b in byte_groups([len(t) for t in texts], 1 << 19):
                 got, n = encode(texts[a:b])
                 doc_ids += ids[a:b]
                 counts.append(n)
