@@ -6,15 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackweave.functions.scalars import cosine
+from trackweave.operators.aggregates import mean_embedding
 
 
 def mean_vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
-    """key, vector: the mean of a key's vectors at length 1. Keys whose mean is zero have none. Sums are combined before the shuffle."""
-    parts = df.where(F.col(vector).isNotNull()).select(key, F.posexplode(vector).alias("pos", "value"))
-    means = parts.groupBy(key, "pos").agg(F.avg(F.col("value").cast("double")).alias("mean"))
-    whole = means.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "mean"))), lambda s: s["mean"]).alias("sum_"))
-    norm = F.sqrt(F.aggregate("sum_", F.lit(0.0), lambda acc, x: acc + x * x))
-    return whole.withColumn("norm_", norm).where("norm_ > 0").select(key, F.transform("sum_", lambda x: x / F.col("norm_")).alias("vector"))
+    """key, vector: the mean of a key's vectors at length 1. Keys whose mean is zero have none."""
+    parts = mean_embedding(df, [key], vector).groupBy(key)
+    return parts.agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda s: s["value"]).alias("vector"))
 
 
 def nearest_vector(df: DataFrame, id: str, vector: str, means: DataFrame, key: str, *, most_keys: int = 10_000) -> DataFrame:
