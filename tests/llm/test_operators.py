@@ -320,6 +320,19 @@ def test_decontamination(spark, odd, empty):
     assert decontaminate.contaminated(odd, bench).count() == 0
 
 
+def test_decontamination_of_partial_copies(spark):
+    item = [f"q{i}" for i in range(40)]
+    twice = ["la", "li", "lo", "lu", *(f"r{i}" for i in range(20)), "la", "li", "lo", "lu"]
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(twice)), (None, " ".join(f"z{i}" for i in range(15)))], "item_id long, text string")
+    # 5,000 documents hold 24 of the 40 words, 300 the last 17 and one all; 300 share 8 words only
+    texts = [item[:24]] * 5000 + [item[23:]] * 300 + [item] + [item[8:16]] * 300 + [twice] + [[f"z{i}" for i in range(15)]]
+    docs = spark.createDataFrame([(d, f"before{d} " + " ".join(t) + f" after{d}") for d, t in enumerate(texts)], "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontaminate.contaminated(docs, bench).collect()}
+    want = {(d, 1): 0.6 for d in range(5000)} | {(d, 1): 17 / 40 for d in range(5000, 5300)} | {(5300, 1): 1.0, (5601, 2): 1.0, (5602, None): 1.0}
+    assert got == pytest.approx(want)
+    assert sorted(r["doc_id"] for r in decontaminate.drop_contaminated(docs, bench).collect()) == list(range(5301, 5601))
+
+
 def test_alignment():
     def brute(q, t):
         h, best = np.zeros((len(q) + 1, len(t) + 1), int), 0

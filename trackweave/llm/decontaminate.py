@@ -1,4 +1,4 @@
-"""Benchmark decontamination: rare n-gram seeds find passages, Smith-Waterman alignment scores them."""
+"""Benchmark decontamination: n-gram seeds find passages, Smith-Waterman alignment scores them."""
 
 from __future__ import annotations
 
@@ -76,37 +76,18 @@ def _passing(grams: np.ndarray, bits: np.ndarray) -> np.ndarray:
     return np.flatnonzero(bits[(bit >> np.uint64(5)).astype(np.int64)] >> (bit & np.uint64(31)).astype(np.uint32) & np.uint32(1))
 
 
-def gram_counts(docs: DataFrame, seeds: DataFrame, n: int) -> DataFrame:
-    """(gram, n_docs): in how many texts each n-gram of the filter occurs, added up in each task before it is shuffled."""
-    bits = docs.sparkSession.sparkContext.broadcast(_filter(seeds))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, found = text_bytes(batch.column(0)), []
-            for a, b in byte_groups([len(t) for t in texts], 2 << 20):
-                for words in text_hashes(texts[a:b]):
-                    grams = gram_hashes(words, n)
-                    found.append(np.unique(grams[_passing(grams, bits.value)]))
-            keys, counts = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts.astype(np.int64))], ["gram", "n"])
-
-    return docs.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n_docs"))
-
-
-def rare_seeds(items: DataFrame, counts: DataFrame, floor: int = 20) -> DataFrame:
-    """(gram, item_id, place): the seeds that are rare for their item.
+def placed_seeds(items: DataFrame) -> DataFrame:
+    """(gram, item_id, m, first, last): every n-gram of an item of m words, once, with the first and last place it stands at.
 
-    Rare is a count up to four times the lower quartile of the item's own
-    n-grams, or up to floor: common phrases go, while an item that very many
-    documents hold keeps all its seeds.
+    None is left out for being frequent: a passage that very many documents
+    hold may be all that some of them share with the item.
     """
-    placed = items.select("item_id", F.posexplode("grams").alias("place", "gram")).join(counts, "gram")
-    limit = placed.groupBy("item_id").agg(F.percentile_approx("n_docs", 0.25).alias("quarter"))
-    return placed.join(limit, "item_id").where(F.col("n_docs") <= F.greatest(4 * F.col("quarter"), F.lit(floor))).select("gram", "item_id", "place")
+    placed = items.select("item_id", F.size("words").alias("m"), F.posexplode("grams").alias("place", "gram"))
+    return placed.groupBy("gram", "item_id", "m").agg(F.min("place").alias("first"), F.max("place").alias("last"))
 
 
 def seed_hits(docs: DataFrame, seeds: DataFrame, n: int) -> DataFrame:
-    """Per text with a seed: doc_id, row (hash of the text), words, hits (gram, pos)."""
+    """Per text with a seed: doc_id, row (hash of the text, seeded by doc_id), words, hits (gram, pos)."""
     bits = docs.sparkSession.sparkContext.broadcast(_filter(seeds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,7 +99,7 @@ def seed_hits(docs: DataFrame, seeds: DataFrame, n: int) -> DataFrame:
                     grams = gram_hashes(words, n)
                     at = _passing(grams, bits.value)
                     if len(at):
-                        rows.append((doc_ids[i], np.uint64(xxhash.xxh64_intdigest(texts[i])).astype(np.int64), _short(words), grams[at].view(np.int64), at.astype(np.int32)))
+                        rows.append((doc_ids[i], np.uint64(xxhash.xxh64_intdigest(texts[i], (doc_ids[i] or 0) & (1 << 64) - 1)).astype(np.int64), _short(words), grams[at].view(np.int64), at.astype(np.int32)))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32())))], ["doc_id", "row", "words", "grams", "places"])
 
@@ -152,9 +133,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, n: int = 4, threshold
     """Pairs of documents and benchmark items that they hold: doc_id, item_id, score, start, n_item_words.
 
     A pair's score is the best local alignment between the item's words and
-    the passages of the document around the item's rare n-gram seeds (match 2,
+    the passages of the document around the n-grams that both hold (match 2,
     other word or gap -1), as a share of a full match; pairs at threshold or
     more are returned, one row each. start is the first word of the best passage.
+    Every n-gram of an item is a seed, however many documents hold it; a
+    passage that shares no n words in a row with the item isn't aligned.
 
     Words are compared lower-cased without outer punctuation. The filter that
     goes to workers has a fixed size; what passes it is joined to the seeds
@@ -164,21 +147,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, n: int = 4, threshold
     empty result; further columns are ignored.
     """
     items = written(item_seeds(benchmark, n), "items")
-    grams = items.select(F.explode("grams").alias("gram")).distinct()
-    counts = written(gram_counts(docs, grams, n), "gram-counts")
-    seeds = written(rare_seeds(items, counts), "seeds")
+    seeds = written(placed_seeds(items), "seeds")
     found = written(seed_hits(docs, seeds.select("gram").distinct(), n), "hits")
     pairs = found.select("doc_id", "row", F.explode(F.arrays_zip("grams", "places")).alias("x")).select("doc_id", "row", F.col("x.grams").alias("gram"), F.col("x.places").alias("pos"))
     sizes = items.select("item_id", F.col("words").alias("query"), F.size("words").alias("m")).where(F.col("m") >= n).distinct()
-    hits = pairs.join(seeds, "gram").join(sizes.select("item_id", "m").distinct(), "item_id")
-    begin = F.col("pos") - F.col("place")
-    spans = hits.groupBy("doc_id", "row", "item_id", "m", F.floor(begin / F.col("m")).alias("near")).agg(F.min(begin).alias("low"), F.max(begin).alias("high"))
+    hits = pairs.join(seeds, "gram")
+    begin = F.col("pos") - F.col("last")
+    spans = hits.groupBy("doc_id", "row", "item_id", "m", F.floor(begin / F.col("m")).alias("near")).agg(F.min(begin).alias("low"), F.max(F.col("pos") - F.col("first")).alias("high"))
     slack = F.ceil(F.col("m") / 4).cast("int") + 2
     spans = spans.withColumn("start", F.greatest(F.lit(0), F.col("low") - slack).cast("int")).withColumn("stop", (F.col("high") + F.col("m") + slack).cast("int"))
-    # rows that repeat have the same words: one of them is enough
-    texts = found.select(F.col("doc_id").alias("d"), F.col("row").alias("r"), "words").dropDuplicates(["d", "r"])
-    passages = spans.join(texts, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row") == F.col("r"))).select("doc_id", "item_id", "m", "start", F.slice("words", F.col("start") + 1, F.col("stop") - F.col("start")).alias("window"))
-    joined = passages.join(sizes.select(F.col("item_id").alias("i"), "query", F.col("m").alias("m2")), (F.col("item_id") == F.col("i")) & (F.col("m") == F.col("m2")))
+    # rows that repeat have the same words: one of them is enough; the key is that of the join, so words are shuffled once
+    texts = found.select(F.col("row").alias("r"), "words").dropDuplicates(["r"])
+    passages = spans.join(texts, F.col("row") == F.col("r")).select("doc_id", "item_id", "m", "start", F.slice("words", F.col("start") + 1, F.col("stop") - F.col("start")).alias("window"))
+    joined = passages.join(sizes.select(F.col("item_id").alias("i"), "query", F.col("m").alias("m2")), F.col("item_id").eqNullSafe(F.col("i")) & (F.col("m") == F.col("m2")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for got in batches:
