@@ -291,6 +291,28 @@ def test_mixing_tree_and_documents(spark, odd, empty):
     assert all(got[d] == plan[d] for d in plan if d not in (None, 5))  # 5 stands twice in the table
 
 
+def test_mixing_shards_hold_the_mix(spark):
+    # weights a 3, b 1, c 2: b is over its weight (0.5 times its size), a under it
+    texts = [(d, f"t{d} " + "w " * 9, "abbbbcc"[d % 7]) for d in range(14_000)]
+    df = spark.createDataFrame(texts, "doc_id long, text string, source string")
+    rows = mixing.mix_plan(df, share=1.0, block_words=100).collect()
+    target = {r["source"]: r["target"] / r["source_size"] for r in rows}
+    assert target["a"] > 1 and target["b"] < 1
+    taken, places = Counter(), {}
+    for r in rows:
+        taken[r["shard"], r["source"]] += r["taken"]
+        places.setdefault(r["shard"], []).append((r["place"], r["source"]))
+    for s in "abc":
+        whole = sum(taken[k, s] for k in range(8))
+        assert all(0.7 < taken[k, s] / (whole / 8) < 1.3 for k in range(8)), (s, taken)
+    got = [(r["doc_id"], r["source"]) for r in mixing.mix_documents(df, share=1.0, block_words=100).collect()]
+    shard = {r["doc_id"]: r["shard"] for r in rows}
+    order = [shard[d] for d, _ in got]
+    assert order == sorted(order) and Counter(got) == Counter({(r["doc_id"], r["source"]): r["copies"] + (r["cut"] > 0) for r in rows if r["taken"]})
+    first = [s for (_, s), k in zip(got, order) if k == 0]
+    assert sum(a != b for a, b in zip(first, first[1:])) > 0.3 * len(first)  # shuffled inside the shard, not source by source
+
+
 def test_decontamination(spark, odd, empty):
     rng = np.random.default_rng(0)
     vocabulary = [f"w{i}" for i in range(3000)]

@@ -75,17 +75,21 @@ def hypergeometric(total: Column, good: Column, drawn: Column, u: Column) -> Col
 def splitting_tree(blocks: DataFrame, *, levels: int = 3, seed: int = 42) -> DataFrame:
     """(source, shard, first, n): how many of each source's blocks go to each of 2^levels shards.
 
-    blocks: one row per source with its number of blocks. At every node the
-    blocks of all sources are split in halves as by drawing without
+    blocks: one row per source with its number of blocks; with a further column
+    times, one row per source and times, and each value of times has a tree of
+    its own (times is then a column of the result). At every node the blocks of
+    all sources are split in halves as by drawing without
     replacement: in the order of the sources, each takes a hypergeometric share of what the left half
     has room for. first is where the shard's range of the source's permuted blocks begins.
     """
+    by = [c for c in blocks.columns if c == "times"]
+    salt = F.col("times") if by else F.lit(0)
     order = F.array_sort(F.collect_list(F.struct(F.col("source").isNull().alias("last"), "source", F.col("blocks").cast("double").alias("n"))))
-    nodes = blocks.groupBy().agg(order.alias("quota")).withColumn("node", F.lit(0))
+    nodes = blocks.groupBy(*by).agg(order.alias("quota")).withColumn("node", F.lit(0))
     for level in range(levels):
         room = F.aggregate("quota", F.lit(0.0), lambda a, q: a + q["n"])
         nodes = nodes.withColumn("total", room)
-        uniform = lambda i: (F.xxhash64(F.lit(seed), F.lit(level), F.col("node"), i).bitwiseAND(F.lit((1 << 53) - 1))) / float(1 << 53)
+        uniform = lambda i: (F.xxhash64(F.lit(seed), F.lit(level), F.col("node"), salt, i).bitwiseAND(F.lit((1 << 53) - 1))) / float(1 << 53)
         # the left half has room for half the blocks; the odd one goes left or right by a coin
         coin = (uniform(F.lit(-1)) < 0.5).cast("double")
         start = F.struct(F.col("total").alias("total"), F.floor((F.col("total") + coin) / 2).cast("double").alias("room"), F.lit(0).alias("i"), F.array().cast("array<double>").alias("left"))
@@ -95,16 +99,52 @@ def splitting_tree(blocks: DataFrame, *, levels: int = 3, seed: int = 42) -> Dat
             return F.struct((acc["total"] - q["n"]).alias("total"), (acc["room"] - k).alias("room"), (acc["i"] + 1).alias("i"), F.concat(acc["left"], F.array(k)).alias("left"))
 
         # written apart: an expression that holds itself several times would grow with every level
-        drawn = written(nodes.select("node", "quota", F.aggregate("quota", start, draw)["left"].alias("left")), "split")
+        drawn = written(nodes.select(*by, "node", "quota", F.aggregate("quota", start, draw)["left"].alias("left")), "split")
         side = lambda right: F.transform("quota", lambda q, i: F.struct(q["last"].alias("last"), q["source"].alias("source"), (q["n"] - F.get("left", i) if right else F.get("left", i)).alias("n")))
         both = F.array(F.struct((2 * F.col("node")).alias("node"), side(False).alias("quota")), F.struct((2 * F.col("node") + 1).alias("node"), side(True).alias("quota")))
-        nodes = drawn.select(F.explode(both).alias("x")).select("x.*")
-    flat = nodes.select(F.col("node").alias("shard"), F.explode("quota").alias("q")).select(F.col("q.source").alias("source"), "shard", F.col("q.n").cast("long").alias("n"))
-    by_source = Window.partitionBy("source").orderBy("shard")
+        nodes = drawn.select(*by, F.explode(both).alias("x")).select(*by, "x.*")
+    flat = nodes.select(*by, F.col("node").alias("shard"), F.explode("quota").alias("q")).select(F.col("q.source").alias("source"), *by, "shard", F.col("q.n").cast("long").alias("n"))
+    by_source = Window.partitionBy(*by, "source").orderBy("shard")
     return flat.withColumn("first", F.sum("n").over(by_source) - F.col("n"))
 
 
-def mix_plan(docs: DataFrame, *, share: float = 1.5, most: float = 2.0, block_words: int = 1 << 16, levels: int = 3, seed: int = 42) -> DataFrame:
+def _placed(docs: DataFrame, keep: list[str], *, share: float = 1.5, most: float = 2.0, block_words: int = 1 << 16, levels: int = 3, seed: int = 42) -> DataFrame:
+    """The columns of mix_plan for each row of docs, beside a struct `row` of the columns to keep."""
+    base = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("doc_id", "text", F.lit(seed)).alias("h"), F.struct(*(docs[c] for c in keep)).alias("row") if keep else F.lit(None).cast("boolean").alias("row"))
+    small = written(base.drop("row"), "sizes")
+    sizes = small.groupBy("source").agg(F.sum("size").alias("source_size"))
+    goal = F.round("target").cast("long")
+    rounds = F.when(F.col("source_size") > 0, F.floor(F.col("goal") / F.col("source_size"))).otherwise(0)
+    targets = source_targets(sizes, share=share, most=most).withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("source_size") / block_words)).cast("long"))
+    targets = targets.withColumn("goal", goal).withColumn("rounds", rounds).withColumn("lacks", F.col("goal") - F.col("rounds") * F.col("source_size"))
+    targets = written(targets.withColumn("sid", F.row_number().over(Window.orderBy(F.col("source").isNull(), "source"))), "targets")
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        out = rows.join(targets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+        return out.withColumn("block", F.pmod(F.col("h"), F.col("blocks")))
+
+    per_block = dealt(small).groupBy("sid", "block").agg(F.sum("size").alias("words"), F.first("rounds").alias("rounds"), F.first("lacks").alias("lacks"))
+    in_source = Window.partitionBy("sid").orderBy("block")
+    starts = per_block.withColumn("start", F.sum("words").over(in_source) - F.col("words"))
+    starts = starts.withColumn("times", F.col("rounds") + (F.col("start") < F.col("lacks")).cast("long"))
+    starts = written(starts.withColumn("nth", F.row_number().over(Window.partitionBy("sid", "times").orderBy("block")) - 1), "blocks")
+    tree = splitting_tree(starts.groupBy(F.col("sid").alias("source"), "times").agg(F.count("*").alias("blocks")), levels=levels, seed=seed)
+    shards = tree.where("n > 0").groupBy(F.col("source").alias("sid"), "times").agg(F.array_sort(F.collect_list(F.struct("first", "n", "shard"))).alias("ranges"))
+    here = F.filter("ranges", lambda r: (r["first"] <= F.col("nth")) & (F.col("nth") < r["first"] + r["n"]))
+    starts = starts.join(shards, ["sid", "times"]).select("sid", "block", "start", F.element_at(here, 1)["shard"].alias("shard"))
+    joined = dealt(base if keep else small.withColumn("row", F.lit(None).cast("boolean"))).join(starts, ["sid", "block"])
+    shuffle = F.xxhash64("h", F.lit(seed + 1))
+    in_block = Window.partitionBy("sid", "block").orderBy(shuffle, "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    begin = F.col("start") + F.coalesce(F.sum("size").over(in_block), F.lit(0))
+    placed = joined.withColumn("begin", begin)
+    extra = F.greatest(F.lit(0), F.least(F.col("size"), F.col("lacks") - F.col("begin")))
+    out = placed.withColumn("extra", extra).withColumn("taken", F.col("rounds") * F.col("size") + F.col("extra"))
+    full = (F.col("extra") == F.col("size")) & (F.col("size") > 0)
+    cut = F.when(full, 0).otherwise(F.col("extra"))
+    return out.select("doc_id", "source", "size", "source_size", "target", "taken", (F.col("rounds") + full.cast("long")).alias("copies"), cut.alias("cut"), "shard", F.xxhash64("h", "begin", F.lit(seed + 2)).alias("place"), "row")
+
+
+def mix_plan(docs: DataFrame, **options) -> DataFrame:
     """Per row of docs: doc_id, source, size, source_size, target, taken, copies, cut, shard, place.
 
     Every document is taken floor(target / source_size) times, and what then
@@ -115,53 +155,33 @@ def mix_plan(docs: DataFrame, *, share: float = 1.5, most: float = 2.0, block_wo
     (its first cut words, one copy more if over 0), so the source meets its
     rounded target exactly.
 
-    The tree deals each source's blocks to 2^levels shards in disjoint ranges;
-    place orders rows inside a shard. Only sums by block are ordered source by
-    source, never documents.
-
-    Null text has no words and is taken 0 words; null sources form one source,
-    ranked last; rows with equal ids and texts are ordered as one after the
-    other (they are alike); an empty table gives an empty result; further
-    columns are ignored. Reruns agree, as hashes take the place of chance.
+    The tree deals each source's quota of drawn blocks to 2^levels shards in
+    disjoint ranges, and in trees of their own the blocks that only whole
+    rounds take and those that aren't taken: in every shard, sources have their
+    shares of the mix but for the chance of the draw. place orders the rows of
+    a shard at random. Only sums by block are ordered source by source, never
+    documents.
+
+    Options: share, most, block_words, levels, seed. Null text has no words
+    and is taken 0 words; null sources form one source, ranked last; rows with
+    equal ids and texts are ordered as one after the other (they are alike);
+    an empty table gives an empty result; further columns are ignored. Reruns
+    agree, as hashes take the place of chance.
     """
-    sized = written(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("doc_id", F.lit(seed)).alias("h")), "sizes")
-    sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    targets = source_targets(sizes, share=share, most=most).withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("source_size") / block_words)).cast("long"))
-    targets = written(targets.withColumn("goal", F.round("target").cast("long")), "targets")
-    same = F.col("t.source").eqNullSafe(F.col("d.source"))
-    rows = sized.alias("d").join(targets.alias("t"), same).select("d.*", "t.source_size", "t.target", "t.goal", "t.blocks")
-    rows = rows.withColumn("block", F.pmod(F.col("h"), F.col("blocks")))
-    per_block = rows.groupBy("source", "block").agg(F.sum("size").alias("words"))
-    in_source = Window.partitionBy("source").orderBy("block")
-    starts = per_block.withColumn("start", F.sum("words").over(in_source) - F.col("words")).select(F.col("source").alias("s"), F.col("block").alias("b"), "start")
-    tree = splitting_tree(targets.select("source", "blocks"), levels=levels, seed=seed)
-    shards = tree.groupBy(F.col("source").alias("s2")).agg(F.array_sort(F.collect_list(F.struct(F.col("first"), F.col("n"), F.col("shard")))).alias("ranges"))
-    starts = starts.join(shards, F.col("s").eqNullSafe(F.col("s2"))).withColumn(
-        "shard", F.element_at(F.filter("ranges", lambda r: (r["first"] <= F.col("b")) & (F.col("b") < r["first"] + r["n"])), 1)["shard"]
-    )
-    joined = rows.join(starts.select("s", "b", "start", "shard"), F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")))
-    shuffle = F.xxhash64("h", F.lit(seed + 1))
-    in_block = Window.partitionBy("source", "block").orderBy(shuffle, "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    begin = F.col("start") + F.coalesce(F.sum("size").over(in_block), F.lit(0))
-    rounds = F.when(F.col("source_size") > 0, F.floor(F.col("goal") / F.col("source_size"))).otherwise(0)
-    lacks = F.col("goal") - F.col("rounds") * F.col("source_size")
-    placed = joined.withColumn("place", begin).withColumn("rounds", rounds)
-    extra = F.greatest(F.lit(0), F.least(F.col("size"), lacks - F.col("place")))
-    out = placed.withColumn("extra", extra).withColumn("taken", F.col("rounds") * F.col("size") + F.col("extra"))
-    full = (F.col("extra") == F.col("size")) & (F.col("size") > 0)
-    return out.select("doc_id", "source", "size", "source_size", "target", "taken", (F.col("rounds") + full.cast("long")).alias("copies"), F.when(full, 0).otherwise(F.col("extra")).alias("cut"), "shard", "place")
+    return _placed(docs, [], **options).drop("row")
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mixed documents themselves, in the columns of docs: whole copies, and the one cut document of each source at its first words.
+    """The mixed documents themselves, in the columns of docs, ordered by shard and, inside it, by chance.
 
-    A cut text is its first taken words, joined by spaces. Rows
-    without an id keep no plan of their own and are left out.
+    They are whole copies, and the one cut document of each source at its
+    first words, joined by spaces. Each row has its own share of the plan, also
+    where ids are null or repeated; copies of a row are shuffled one by one.
     """
-    plan = mix_plan(docs, **options).where("taken > 0 and doc_id is not null").groupBy("doc_id").agg(F.max("copies").alias("copies"), F.max("cut").alias("cut"))
-    joined = docs.join(plan.withColumnRenamed("doc_id", "plan_id"), F.col("doc_id") == F.col("plan_id"))
+    plan = _placed(docs, docs.columns, **options).where("taken > 0")
     copies = F.concat(F.array_repeat(F.lit(0).cast("long"), F.col("copies").cast("int")), F.when(F.col("cut") > 0, F.array("cut")).otherwise(F.array().cast("array<long>")))
-    spread = joined.select(*docs.columns, F.explode(copies).alias("words_"))
+    spread = plan.select("row.*", "shard", "place", F.posexplode(copies).alias("copy_", "words_"))
+    spread = spread.orderBy("shard", F.xxhash64("place", "copy_"))
     tail = F.split(F.regexp_replace("text", r"^[\x20\x09-\x0D]+", ""), WORD_BREAK)
     cut_text = F.concat_ws(" ", F.slice(tail, 1, F.greatest(F.lit(1), F.col("words_").cast("int"))))
     text = F.when(F.col("words_") == 0, F.col("text")).otherwise(cut_text)
