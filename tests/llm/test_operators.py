@@ -291,6 +291,20 @@ def test_mixing_tree_and_documents(spark, odd, empty):
     assert all(got[d] == plan[d] for d in plan if d not in (None, 5))  # 5 stands twice in the table
 
 
+def test_rows_with_equal_or_no_ids(spark, odd):
+    got, want = Counter(), Counter()
+    for r in mixing.mix_documents(odd).collect():
+        got[r["doc_id"]] += len(WORD.findall(r["text"]))
+    for r in mixing.mix_plan(odd).collect():
+        want[r["doc_id"]] += r["taken"]
+    assert got == +want and got[5] and got[None]
+    rng = np.random.default_rng(0)
+    a, b, c, d = (" ".join(f"{x}{i}" for i in rng.integers(0, 9999, 80)) for x in "abcd")
+    table = spark.createDataFrame([(5, a), (5, b), (3, b), (5, c), (5, c), (None, a), (None, d), (None, d)], "doc_id long, text string")
+    kept = [tuple(r) for r in simhash.drop_near_duplicates(table).collect()]
+    assert Counter(kept) == Counter([(5, a), (3, b), (5, c), (None, d)])
+
+
 def test_mixing_shards_hold_the_mix(spark):
     # weights a 3, b 1, c 2: b is over its weight (0.5 times its size), a under it
     texts = [(d, f"t{d} " + "w " * 9, "abbbbcc"[d % 7]) for d in range(14_000)]

@@ -252,7 +252,14 @@ def simhash_components(df: DataFrame, *, id_column: str = "doc_id", text_column:
 
 
 def drop_near_duplicates(df: DataFrame, **options) -> DataFrame:
-    """df with one document of each component: that with its smallest id, one row of it. Documents without an id stay."""
-    kept = simhash_components(df.select("doc_id", "text"), **options).where("doc_id = component_id").select("doc_id").distinct()
-    with_id = df.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return with_id.union(df.where("doc_id is null")).select(df.columns)
+    """df with one document of each component: that with its smallest id, and of several texts with that id the one of the smallest hash.
+
+    A text without an id stays only if no document with an id is in its
+    component; of rows with equal ids and texts one stays.
+    """
+    key = F.xxhash64("text")
+    rows = df.select(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", key.alias("key")).alias("doc_id"), "text")
+    kept = simhash_components(rows, **options).where("doc_id = component_id").select("doc_id.doc_id", F.col("doc_id.key").alias("key_")).distinct()
+    kept = kept.withColumnRenamed("doc_id", "id_")
+    found = df.withColumn("key_here", key).join(kept, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("key_here") == F.col("key_")), "left_semi")
+    return found.dropDuplicates(["doc_id", "key_here"]).select(df.columns)
