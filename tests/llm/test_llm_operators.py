@@ -1,6 +1,7 @@
 """The ten operators against brute force, and on odd rows."""
 
 import hashlib
+import io
 import os
 import re
 import zlib
@@ -9,11 +10,13 @@ from math import log10
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from tokenizers import Tokenizer
 
 from trackweave.llm import decontaminate, language_id, mixing, ngram_lm, quality, queries, simhash, token_counts, token_store, toxicity, warc
+from trackweave.llm.pieces import PieceTable
 
 SF = "/root/testdata/sf0.001"
 PATH = public_tokenizers.path(queries.TOKENIZER)
@@ -219,20 +222,45 @@ def test_token_store(spark, odd, empty, table):
         assert token_store.token_store(empty, PATH).count() == 0
 
 
-@pytest.mark.parametrize("n, top, block", [(0, 5, 7), (1, 5, 7), (7, 5, 7), (8, 5, 7), (5000, 65536, 512), (5000, 3, 512), (4097, 49408, 4096)])
+@pytest.mark.parametrize("n, top, block", [(0, 5, 7), (1, 5, 7), (7, 5, 7), (8, 5, 7), (5000, 65536, 512), (5000, 3, 512), (4097, 49408, 4096), (3000, 1 << 32, 1000)])
 def test_range_coder(n, top, block):
     rng = np.random.default_rng(n)
-    ids = np.minimum(rng.zipf(1.3, n) % top, top - 1).astype(np.int64)
+    ids = (np.minimum(rng.zipf(1.3, n) % top, top - 1) if top < 1 << 32 else rng.choice(rng.integers(0, top, 200), n)).astype(np.uint32)
     coded = token_store.encode_blocks(ids, block)
     assert (token_store.decode_blocks(coded, n, block) == ids).all()
-    data = token_store.pack_file([1, None][: min(n, 2)], np.array([n - 1, 1][: min(n, 2)] if n > 1 else [n][:n]), ids, block)
-    assert (token_store.unpack_file(data)[2] == ids).all()
+    cuts = [0, *sorted(rng.integers(0, n + 1, min(n, 20)).tolist()), n]  # documents from no ids to several blocks
+    names = [None if i % 5 == 4 else -i for i in range(len(cuts) - 1)]
+    out = io.BytesIO()
+    file = token_store.TokenFile(out, block)
+    for name, a, b in zip(names, cuts, cuts[1:]):
+        file.add([name], np.array([b - a]), ids[a:b])
+    file.close()
+    read = lambda data: [row for part in token_store.read_file(pa.BufferReader(bytes(data))) for row in zip(part[0], part[1].tolist(), part[2].tolist(), part[3])]
+    want = [(name, a, b - a, zlib.crc32(ids[a:b].tobytes())) for name, a, b in zip(names, cuts, cuts[1:])]
+    assert read(out.getvalue()) == (want if n else [])
     if n > 100:
-        assert sum(map(len, coded)) < n  # under 16 bits an id
-        broken = bytearray(data)
-        broken[-3] ^= 1
-        with pytest.raises(ValueError):
-            token_store.unpack_file(bytes(broken))
+        assert top == 1 << 32 or sum(map(len, coded)) < n  # under 16 bits an id
+        for at in (-3, len(out.getvalue()) // 2, 20, len(out.getvalue()) - 60):
+            broken = bytearray(out.getvalue())
+            broken[at] ^= 1
+            with pytest.raises(ValueError):
+                read(broken)
+
+
+def test_pieces_give_the_librarys_ids():
+    tok = Tokenizer.from_file(PATH)
+    rng = np.random.default_rng(0)
+    marks = list("ßÀéàÿ×÷ÞaBzQ1²'<|>é\u0301İ\u0130\u00a0 \n_#.\x1c\x00ΣΑς©漢½") + ["<|endoftext|>", "n't", "'LL", " ", "a" * 17, "é" * 8, "é" * 9]
+    texts = ["", " ", "İstanbul ẞ ΣΑΣ don't X'S y'all'd !!'s x'sy a<|endoftext|>b 123abc45 q" + "w" * 16, "©® © a©b", "<|", "\n\n"]
+    texts += ["".join(marks[k] for k in rng.integers(0, len(marks), rng.integers(1, 40))) for _ in range(3000)]
+    want = [[*e.ids, 2] for e in tok.encode_batch(texts, add_special_tokens=False)]
+    table = PieceTable(PATH, limit=500, word_bytes=20_000)  # it starts anew between batches
+    for a in range(0, len(texts), 301):
+        ids, n = table.encode([t.encode() for t in texts[a : a + 301]], 2)
+        assert n.tolist() == [len(w) for w in want[a : a + 301]] and ids.tolist() == [x for w in want[a : a + 301] for x in w]
+        assert (table.lengths([t.encode() for t in texts[a : a + 301]]) == n - 1).all()
+    other = public_tokenizers.path("byte_bpe_50k.json")  # a file whose tokens reach over spaces: whole texts
+    assert PieceTable(other).encode([b"a b  c", b""], 7)[0].tolist() == [*Tokenizer.from_file(other).encode("a b  c", add_special_tokens=False).ids, 7, 7]
 
 
 def water_fill(sizes):

@@ -2,84 +2,51 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackweave.llm.common import WordTable, byte_groups, safe_pieces, sums_by_run, text_bytes
+from trackweave.llm.common import byte_groups, safe_pieces, text_bytes
+from trackweave.llm.pieces import PieceTable, kept
 
-#: One encoder for each tokenizer file and Python worker, kept between tasks.
-_ENCODERS: dict[str, WordTable] = {}
 
-
-def _lengths(path: str, batch_bytes: int):
-    if path.endswith(".model"):
+def _counter(path: str, batch_bytes: int) -> Callable[[list[bytes]], np.ndarray]:
+    if path.endswith(".model"):  # no boundary is known to be safe: whole texts
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        return None, lambda texts: [len(x) for x in model.encode([t.decode() for t in texts], num_threads=1)]
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.no_truncation()
-    tokenizer.no_padding()
-
-    def encode(texts: list[bytes]) -> list[int]:
-        return [len(x) for x in tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
-
-    return tokenizer, encode
-
-
-def cuts_at_spaces(tokenizer) -> bool:
-    """Whether tokens never reach over ASCII white space: a removing split whose pattern leaves white space out.
-
-    Composition (NFC) doesn't reach over it either, as no composed character starts with it.
-    """
-    import json
-
-    spec = json.loads(tokenizer.to_str())
-    steps = spec.get("pre_tokenizer") or {}
-    steps = steps.get("pretokenizers", [steps])
-    splits = [s for s in steps if s.get("type") == "Split"]
-    return bool(splits) and splits[0]["behavior"] == "Removed" and splits[0]["invert"] and r"[^\s" in splits[0]["pattern"].get("Regex", "") and all(not t["lstrip"] and not t["rstrip"] and not t["single_word"] and len(t["content"].split()) == 1 for t in spec["added_tokens"])
-
 
-def _counter(path: str, batch_bytes: int):
-    tokenizer, encode = _lengths(path, batch_bytes)
+        def encode(texts: list[bytes]) -> np.ndarray:
+            return np.array([len(x) for x in model.encode([t.decode() for t in texts], num_threads=1)], np.int64)
+    else:
+        table = PieceTable(path, keep_ids=False)
+        if table.by_word:
+            return lambda texts: _in_pieces(table, texts, batch_bytes)
+        encode = table.lengths
 
     def balanced(texts: list[bytes]) -> np.ndarray:
         """Lengths of texts, encoded in batches of about as many bytes, like lengths together."""
-        out = np.zeros(len(texts), np.int32)
+        out = np.zeros(len(texts), np.int64)
         order = sorted(range(len(texts)), key=lambda i: len(texts[i]))
         for a, b in byte_groups([len(texts[i]) + 16 for i in order], batch_bytes):
             out[order[a:b]] = encode([texts[i] for i in order[a:b]])
         return out
 
-    if tokenizer is None or not cuts_at_spaces(tokenizer):  # no boundary is known to be safe: whole texts
-        return lambda texts: balanced(texts).astype(np.int64)
-    words = WordTable(balanced)
+    return balanced
 
-    def count(texts: list[bytes]) -> np.ndarray:
-        pieces, owner = [], []
-        for i, text in enumerate(texts):
-            for piece in safe_pieces(text, batch_bytes):
-                pieces.append(piece)
-                owner.append(i)
-        total = np.zeros(len(texts), np.int64)
-        for a, b in byte_groups([len(p) for p in pieces], batch_bytes):
-            cut = [p.split() for p in pieces[a:b]]
-            at = words.lookup([w for ws in cut for w in ws])
-            if len(at):
-                np.add.at(total, owner[a:b], sums_by_run(words.rows[at], np.array([len(ws) for ws in cut])))
-        return total
 
-    return count
+def _in_pieces(table: PieceTable, texts: list[bytes], batch_bytes: int) -> np.ndarray:
+    pieces = [(i, p) for i, t in enumerate(texts) for p in safe_pieces(t, batch_bytes)]
+    total = np.zeros(len(texts), np.int64)
+    for a, b in byte_groups([len(p) for _, p in pieces], batch_bytes):
+        np.add.at(total, [i for i, _ in pieces[a:b]], table.lengths([p for _, p in pieces[a:b]]))
+    return total
 
 
-def token_counts(df: DataFrame, path: str, *, id_column: str = "doc_id", text_column: str = "text", limit: int = 2048, batch_bytes: int = 2 << 20) -> DataFrame:
+def token_counts(df: DataFrame, path: str, *, id_column: str = "doc_id", text_column: str = "text", limit: int = 2048, batch_bytes: int = 1 << 19) -> DataFrame:
     """Per row of df: id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit).
 
     Counts are those of the library of the tokenizer file at path, without
@@ -94,9 +61,7 @@ def token_counts(df: DataFrame, path: str, *, id_column: str = "doc_id", text_co
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _ENCODERS:
-            _ENCODERS[path] = _counter(path, batch_bytes)
-        count = _ENCODERS[path]
+        count = kept(("lengths", path, batch_bytes), lambda: _counter(path, batch_bytes))
         for batch in batches:
             texts = text_bytes(batch.column(1))
             n = count(texts)
