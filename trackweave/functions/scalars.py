@@ -85,8 +85,8 @@ def role_group(role: Column, team: Column) -> Column:
     """Semantic groups: players of team 1 and 2, goalkeepers of team 1 and 2, referees; a goalkeeper of no known team counts as 3."""
     role = F.lower(role)
     return (
-        F.when(role.isin("referee", "referee_candidate", "official", "match_official"), 5)
-        .when(role.isin("goalkeeper", "keeper", "gk"), F.when(team == 2, 4).otherwise(3))
+        F.when(role.isin("referee", "referee_candidate"), 5)
+        .when(role == "goalkeeper", F.when(team == 2, 4).otherwise(3))
         .when(team == 1, 1)
         .when(team == 2, 2)
     )

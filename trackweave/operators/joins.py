@@ -11,16 +11,18 @@ from pyspark.sql import functions as F
 def first_covering(rows: DataFrame, segments: DataFrame, key: str, frame: str, *, width: int) -> DataFrame:
     """Left join of each row with the first segment (by start, end) of its key that covers its frame.
 
-    Segments are dealt to buckets of width frames, so the join is on equal
-    keys and no row meets segments far away. segments: key, start_frame, end_frame and others.
+    Segments are dealt to buckets of width frames and gathered there, so the
+    join is on equal keys, every row meets one list of those that touch its
+    bucket, and rows need not be told apart: repeated rows and rows with nulls
+    stay as they are. segments: key, start_frame, end_frame and others.
     """
-    spread = segments.withColumn("bucket_", F.explode(F.sequence(F.floor(F.col("start_frame") / width), F.floor(F.col("end_frame") / width)))).withColumnRenamed(key, "key_")
-    left = rows.withColumn("row_", F.struct(*rows.columns)).withColumn("bucket_at_", F.floor(F.col(frame) / width))
-    cond = (F.col(key) == F.col("key_")) & (F.col("bucket_at_") == F.col("bucket_")) & F.col(frame).between(F.col("start_frame"), F.col("end_frame"))
     extra = [c for c in segments.columns if c != key]
-    found = left.join(spread, cond).groupBy("row_").agg(F.min(F.struct("start_frame", "end_frame", *[c for c in extra if c not in ("start_frame", "end_frame")])).alias("s_"))
-    hit = found.select("row_.*", *[F.col(f"s_.{c}").alias(c) for c in extra])
-    return rows.join(hit, rows.columns, "left")
+    one = F.struct("start_frame", "end_frame", *[c for c in extra if c not in ("start_frame", "end_frame")])
+    spread = segments.select(F.col(key).alias("key_"), one.alias("s_"), F.explode(F.sequence(F.floor(F.col("start_frame") / width), F.floor(F.col("end_frame") / width))).alias("bucket_"))
+    lists = spread.groupBy("key_", "bucket_").agg(F.array_sort(F.collect_list("s_")).alias("near_"))
+    joined = rows.withColumn("at_", F.floor(F.col(frame) / width)).join(lists, (F.col(key) == F.col("key_")) & (F.col("at_") == F.col("bucket_")), "left")
+    here = F.get(F.filter("near_", lambda s: F.col(frame).between(s["start_frame"], s["end_frame"])), F.lit(0))
+    return joined.withColumn("hit_", here).select(*[rows[c] for c in rows.columns], *[F.col(f"hit_.{c}").alias(c) for c in extra])
 
 
 def nearest(rows: DataFrame, anchors: DataFrame, keys: list[str], order: str, value: str, max_gap: int) -> DataFrame:

@@ -42,20 +42,25 @@ def compact_ranges(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return df.select(*keys, value).distinct().withColumn("island", F.col(value) - F.row_number().over(w)).groupBy(*keys, "island").agg(F.min(value).alias("first"), F.max(value).alias("last"), F.count("*").alias("n")).drop("island")
 
 
-def conflict_islands(df: DataFrame, keys: list[str], order: str, team: str, *, max_gap: int, min_rows: int) -> DataFrame:
+def conflict_islands(df: DataFrame, keys: list[str], order: str | list[str], team: str, *, max_gap: int, min_rows: int) -> DataFrame:
     """Runs of rows in conflict (team not null), bridged over at most max_gap other rows.
 
-    A run ends when more rows without conflict pass or the conflicting team changes. Rows inside a run that bridge it count as bridges; runs of fewer
-    than min_rows conflicts are left out.
+    A run ends when more rows without conflict pass, the conflicting team
+    changes, or the first order column moves on by more than max_gap + 1.
+    Rows inside a run without conflict are its bridges; runs of fewer than
+    min_rows rows, bridges included, are left out. first_row and last_row are
+    places among the rows of the key.
     """
-    w = Window.partitionBy(*keys).orderBy(order)
-    numbered = df.withColumn("row", F.row_number().over(w))
-    hits = numbered.where(F.col(team).isNotNull())
+    order = [order] if isinstance(order, str) else order
+    w = Window.partitionBy(*keys).orderBy(*order)
+    hits = df.withColumn("row", F.row_number().over(w)).where(F.col(team).isNotNull())
     v = Window.partitionBy(*keys).orderBy("row")
-    new = F.lag("row").over(v).isNull() | (F.col("row") - F.lag("row").over(v) - 1 > max_gap) | (F.lag(team).over(v) != F.col(team))
+    past = F.lag("row").over(v)
+    new = past.isNull() | (F.col("row") - past - 1 > max_gap) | (F.lag(team).over(v) != F.col(team)) | (F.col(order[0]) - F.lag(order[0]).over(v) > max_gap + 1)
     runs = hits.withColumn("new", new.cast("int")).withColumn("run", F.sum("new").over(v.rowsBetween(Window.unboundedPreceding, 0)))
-    out = runs.groupBy(*keys, "run").agg(F.first(team).alias("team"), F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("conflicts"), (F.max("row") - F.min("row") + 1 - F.count("*")).alias("bridges"))
-    return out.where(F.col("conflicts") >= min_rows)
+    out = runs.groupBy(*keys, "run").agg(F.first(team).alias("team"), F.min(order[0]).alias("first"), F.max(order[0]).alias("last"), F.min("row").alias("first_row"), F.max("row").alias("last_row"), F.count("*").alias("conflicts"))
+    out = out.withColumn("bridges", F.col("last_row") - F.col("first_row") + 1 - F.col("conflicts"))
+    return out.where(F.col("conflicts") + F.col("bridges") >= min_rows)
 
 
 def interpolate(df: DataFrame, keys: list[str], order: str, value: str, position: str) -> DataFrame:

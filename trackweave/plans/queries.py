@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,11 +13,10 @@ from trackweave.operators import joins as J
 from trackweave.operators import stateful as SF
 from trackweave.operators import vectors as V
 from trackweave.operators import windows as W
+from trackweave.plans import registry
+from trackweave.plans.registry import ORACLE_SQL, QUERIES, table  # noqa: F401
 from trackweave.streaming import windows as ST
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
 #: Observations from events: who was seen when, with a number, a confidence and a place.
 OBS = """
 o AS (SELECT event_id AS frame, user_id AS track_id, nullif(CAST(json_extract_string(props, '$.k') AS INTEGER), 0) AS jersey_number,
@@ -33,17 +30,7 @@ roster AS (SELECT s_name AS player_id, CAST(s_suppkey AS INTEGER) AS jersey_numb
 
 
 def query(sql: str | None, ctes: str = OBS):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = f"WITH {ctes} {sql}" if ctes else sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return registry.query(sql, ctes)
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -219,14 +206,14 @@ def segment_ranges(spark, sf_dir):
     return W.segment_ranges(rows, ["conv_id"], "turn", "segment_index")
 
 
-@query("""SELECT track_id, run, any_value(team) AS team, min(frame) AS first, max(frame) AS last, count(*) AS conflicts, max(row) - min(row) + 1 - count(*) AS bridges FROM (
-  SELECT *, CAST(sum(CASE WHEN p IS NULL OR row - p - 1 > 2 OR pt <> team THEN 1 ELSE 0 END) OVER (PARTITION BY track_id ORDER BY row ROWS UNBOUNDED PRECEDING) AS BIGINT) AS run FROM (
-    SELECT *, lag(row) OVER (PARTITION BY track_id ORDER BY row) AS p, lag(team) OVER (PARTITION BY track_id ORDER BY row) AS pt FROM (
-      SELECT *, CASE WHEN jersey_number % 3 = 0 THEN 1 WHEN jersey_number % 7 = 0 THEN 2 END AS team, CAST(row_number() OVER (PARTITION BY track_id ORDER BY frame) AS INTEGER) AS row FROM o) WHERE team IS NOT NULL))
-  GROUP BY track_id, run HAVING count(*) >= 2""")
+@query("""SELECT track_id, run, any_value(team) AS team, min(f) AS first, max(f) AS last, min(row) AS first_row, max(row) AS last_row, count(*) AS conflicts, max(row) - min(row) + 1 - count(*) AS bridges FROM (
+  SELECT *, CAST(sum(CASE WHEN p IS NULL OR row - p - 1 > 2 OR pt <> team OR f - pa > 3 THEN 1 ELSE 0 END) OVER (PARTITION BY track_id ORDER BY row ROWS UNBOUNDED PRECEDING) AS BIGINT) AS run FROM (
+    SELECT *, lag(row) OVER w AS p, lag(team) OVER w AS pt, lag(f) OVER w AS pa FROM (
+      SELECT *, CAST(floor(sec / 40000) AS BIGINT) AS f, CASE WHEN jersey_number % 3 = 0 THEN 1 WHEN jersey_number % 7 = 0 THEN 2 END AS team, CAST(row_number() OVER (PARTITION BY track_id ORDER BY CAST(floor(sec / 40000) AS BIGINT), frame) AS INTEGER) AS row FROM o) WHERE team IS NOT NULL WINDOW w AS (PARTITION BY track_id ORDER BY row)))
+  GROUP BY track_id, run HAVING max(row) - min(row) + 1 >= 2""")
 def conflict_islands(spark, sf_dir):
-    rows = observations(spark, sf_dir).withColumn("conflict", F.when(F.col("jersey_number") % 3 == 0, 1).when(F.col("jersey_number") % 7 == 0, 2))
-    return W.conflict_islands(rows, ["track_id"], "frame", "conflict", max_gap=2, min_rows=2)
+    rows = observations(spark, sf_dir).withColumns({"conflict": F.when(F.col("jersey_number") % 3 == 0, 1).when(F.col("jersey_number") % 7 == 0, 2), "at": F.floor(F.col("sec") / 40000)})
+    return W.conflict_islands(rows, ["track_id"], ["at", "frame"], "conflict", max_gap=2, min_rows=2)
 
 
 @query("SELECT o_custkey, min(o_orderkey) AS first, max(o_orderkey) AS last, count(*) AS n FROM (SELECT *, o_orderkey - row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS g FROM orders) GROUP BY o_custkey, g", "")
