@@ -262,9 +262,9 @@ def spans(spark, sf_dir):
     return session_rows(spark, sf_dir).groupBy("track_id", "session").agg(F.min("frame").alias("start_frame"), F.max("frame").alias("end_frame"))
 
 
-@query("SELECT o.track_id, o.frame, min(session) AS segment FROM o LEFT JOIN (SELECT * FROM spans WHERE session % 2 = 0) p ON o.track_id = p.track_id AND o.frame BETWEEN start_frame AND end_frame GROUP BY ALL", OBS + SPANS)
+@query("SELECT o.track_id, o.frame, min(session) AS segment FROM o LEFT JOIN spans p ON o.track_id = p.track_id AND o.frame BETWEEN start_frame AND end_frame GROUP BY ALL", OBS + SPANS)
 def range_first_match(spark, sf_dir):
-    segments = spans(spark, sf_dir).where("session % 2 = 0").withColumnRenamed("session", "segment")
+    segments = spans(spark, sf_dir).withColumnRenamed("session", "segment")
     return J.first_covering(observations(spark, sf_dir).select("track_id", "frame"), segments, "track_id", "frame", width=2000).select("track_id", "frame", "segment")
 
 
@@ -333,7 +333,8 @@ def identity_candidates(spark, sf_dir):
 
 @query(None)
 def optimal_assignment(spark, sf_dir):
-    costs = track_costs(spark, sf_dir).withColumn("video", F.lit("v"))
+    costs = track_costs(spark, sf_dir).withColumn("video", F.col("track_id") % 16)
+    # one recording to a group, as everywhere: its tracklets against the roster
     return J.assign_one_to_one(costs, "video", row="track_id", column="player_id", cost="cost", most=0.5)
 
 
@@ -385,8 +386,8 @@ def kalman_positions(spark, sf_dir):
 @query(None)
 def object_selection(spark, sf_dir):
     o = observations(spark, sf_dir).withColumn("at", F.floor(F.col("frame") / 5))
-    boxes = o.select(F.col("team_id"), "at", F.col("frame").alias("candidate"), "confidence", F.col("x").alias("x1"), F.col("y").alias("y1"), (F.col("x") + 8).alias("x2"), (F.col("y") + 8).alias("y2"))
-    return SF.select_object(boxes, ["team_id"], "at", frame_area=1e6, max_area=0.001, size_penalty=0.2, acquire=0.1, reach=60, reach_cap=300, near=40, distance_penalty=0.3, after_miss=0.05, forget=12).withColumn("score", F.round("score", 6)).withColumn("moved", F.round("moved", 6))
+    boxes = o.select((F.col("track_id") % 16).alias("video"), "at", F.col("frame").alias("candidate"), "confidence", F.col("x").alias("x1"), F.col("y").alias("y1"), (F.col("x") + 8).alias("x2"), (F.col("y") + 8).alias("y2"))
+    return SF.select_object(boxes, ["video"], "at", frame_area=1e6, max_area=0.001, size_penalty=0.2, acquire=0.1, reach=60, reach_cap=300, near=40, distance_penalty=0.3, after_miss=0.05, forget=12).withColumn("score", F.round("score", 6)).withColumn("moved", F.round("moved", 6))
 
 
 def session_spans(spark, sf_dir) -> DataFrame:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -24,3 +25,8 @@ def query(sql: str | None, ctes: str = ""):
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def rounded(value: str | Column, digits: int) -> Column:
+    """Rounded a hair above the value (as the SQL does), so that exact halves go the same way in both engines."""
+    return F.round((F.col(value) if isinstance(value, str) else value) + 1e-9, digits)
