@@ -13,6 +13,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from trackweave.llm import decontaminate, language_id, mixing, ngram_lm, quality, queries, simhash, token_counts, token_store, toxicity, warc
@@ -309,14 +310,50 @@ def test_mixing_tree_and_documents(spark, odd, empty):
     assert max(by_shard.values()) - min(by_shard.values()) <= 3 and len(by_shard) == 8
     shares = [r["n"] for r in rows if r["source"] == "a"]
     assert 90 < min(shares) and max(shares) < 160
-    assert mixing.mix_plan(empty).count() == 0
+    assert mixing.mix_plan(empty).count() == 0 and mixing.mix_documents(empty).count() == 0
     mixed = mixing.mix_documents(odd)
-    plan = {r["doc_id"]: r["taken"] for r in mixing.mix_plan(odd).collect()}
     assert mixed.columns == odd.columns
-    got = Counter()
-    for r in mixed.collect():
+    clash = odd.select("doc_id", "text", "source", *[F.lit(k).alias(c) for k, c in enumerate(("copies", "cut", "plan_id", "words_", "words", "shard", "place", "copy", "row", "size", "block", "s_", "h"))])
+    got, want = Counter(), Counter()
+    for r in mixing.mix_documents(clash).collect():
         got[r["doc_id"]] += len(WORD.findall(r["text"]))
-    assert all(got[d] == plan[d] for d in plan if d not in (None, 5))  # 5 stands twice in the table
+        assert (r["copies"], r["place"], r["h"]) == (0, 6, 12)
+    for r in mixing.mix_plan(clash).collect():
+        want[r["doc_id"]] += r["taken"]
+    assert got == +want
+
+
+def test_mixing_draws_through_the_tree(spark):
+    """What is taken is what the shards draw: the first blocks of each one's pool, as many as the tree gave it."""
+    texts = [(d, f"t{d} " + "w " * (d % 17), "abc"[d % 3]) for d in range(9000)]
+    df = spark.createDataFrame(texts, "doc_id long, text string, source string")
+    sets = {}
+    for seed, levels in ((42, 3), (42, 1), (7, 3)):
+        options = mixing.OPTIONS | {"share": 0.7, "block_words": 120, "seed": seed, "levels": levels}
+        small = mixing._rows(df, seed)
+        sources = {r["source"]: r for r in mixing._drawn(small, **options).collect()}
+        rows = mixing.mix_plan(df, **options).collect()
+        block = {(r["doc_id"], r["source"]): r["h"] % sources[r["source"]]["blocks"] for r in small.collect()}
+        sets[seed, levels] = {r["doc_id"] for r in rows if r["taken"] > r["size"] * sources[r["source"]]["rounds"]}
+        for s, known in sources.items():
+            pools = sorted(known["pools"], key=lambda p: p["first"])
+            assert sum(p["n"] for p in pools) == known["blocks"] and sum(p["drawn"] for p in pools) == known["quota"]
+            assert [p["first"] for p in pools] == [sum(q["n"] for q in pools[:i]) for i in range(len(pools))]
+            pool_of = lambda b: next(p for p in pools if p["first"] <= b < p["first"] + p["n"])  # noqa: E731, B023
+            words, lacks = Counter(), round(known["target"]) - known["rounds"] * known["source_size"]
+            for r in rows:
+                if r["source"] == s:
+                    b = block[r["doc_id"], s]
+                    assert r["shard"] == pool_of(b)["shard"]
+                    words[b] += r["size"]
+            order = sorted(words, key=lambda b: (b - pool_of(b)["first"] >= pool_of(b)["drawn"], b))
+            begin = 0
+            for b in order:
+                extra = sum(r["taken"] - known["rounds"] * r["size"] for r in rows if r["source"] == s and block[r["doc_id"], s] == b)
+                assert extra == max(0, min(words[b], lacks - begin))
+                begin += words[b]
+    first = sets[42, 3]
+    assert all(len(first & other) < 0.95 * len(first) for k, other in sets.items() if k != (42, 3))
 
 
 def test_rows_with_equal_or_no_ids(spark, odd):

@@ -12,7 +12,7 @@ WEIGHTS = (3, 1, 2)
 
 
 def word_count(text: Column) -> Column:
-    """Words of a text without building them: runs between white space, less the empty ends."""
+    """Words of a text: the parts between runs of white space, less the empty ends."""
     text = F.coalesce(text, F.lit(""))
     return F.size(F.array_remove(F.split(text, WORD_BREAK), "")).cast("long")
 
@@ -108,67 +108,111 @@ def splitting_tree(blocks: DataFrame, *, levels: int = 3, seed: int = 42) -> Dat
     return flat.withColumn("first", F.sum("n").over(by_source) - F.col("n"))
 
 
-def _placed(docs: DataFrame, keep: list[str], *, share: float = 1.5, most: float = 2.0, block_words: int = 1 << 16, levels: int = 3, seed: int = 42) -> DataFrame:
-    """The columns of mix_plan for each row of docs, beside a struct `row` of the columns to keep."""
-    base = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("doc_id", "text", F.lit(seed)).alias("h"), F.struct(*(docs[c] for c in keep)).alias("row") if keep else F.lit(None).cast("boolean").alias("row"))
-    small = written(base.drop("row"), "sizes")
-    sizes = small.groupBy("source").agg(F.sum("size").alias("source_size"))
+def _drawn(sizes: DataFrame, *, share: float, most: float, block_words: int, most_blocks: int, levels: int, seed: int) -> DataFrame:
+    """What each source's documents need to know, one row per source: targets, rounds, blocks, the shards' pools and where the draw ends.
+
+    sizes: source, size, h of all documents. Every source has blocks of about
+    block_words words, at most most_blocks of them. Its quota of blocks to draw
+    once more than in whole rounds is split among the shards by one tree, the
+    rest by another; a shard's pool is a range of the permuted blocks, of which
+    it draws the first ones. seam is the block in which the words drawn reach
+    what the source lacks, in the order of drawn blocks by shard, then those
+    left; before is how many words come before it.
+    """
     goal = F.round("target").cast("long")
+    of_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     rounds = F.when(F.col("source_size") > 0, F.floor(F.col("goal") / F.col("source_size"))).otherwise(0)
-    targets = source_targets(sizes, share=share, most=most).withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("source_size") / block_words)).cast("long"))
-    targets = targets.withColumn("goal", goal).withColumn("rounds", rounds).withColumn("lacks", F.col("goal") - F.col("rounds") * F.col("source_size"))
-    targets = written(targets.withColumn("sid", F.row_number().over(Window.orderBy(F.col("source").isNull(), "source"))), "targets")
-
-    def dealt(rows: DataFrame) -> DataFrame:
-        out = rows.join(targets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-        return out.withColumn("block", F.pmod(F.col("h"), F.col("blocks")))
-
-    per_block = dealt(small).groupBy("sid", "block").agg(F.sum("size").alias("words"), F.first("rounds").alias("rounds"), F.first("lacks").alias("lacks"))
-    in_source = Window.partitionBy("sid").orderBy("block")
-    starts = per_block.withColumn("start", F.sum("words").over(in_source) - F.col("words"))
-    starts = starts.withColumn("times", F.col("rounds") + (F.col("start") < F.col("lacks")).cast("long"))
-    starts = written(starts.withColumn("nth", F.row_number().over(Window.partitionBy("sid", "times").orderBy("block")) - 1), "blocks")
-    tree = splitting_tree(starts.groupBy(F.col("sid").alias("source"), "times").agg(F.count("*").alias("blocks")), levels=levels, seed=seed)
-    shards = tree.where("n > 0").groupBy(F.col("source").alias("sid"), "times").agg(F.array_sort(F.collect_list(F.struct("first", "n", "shard"))).alias("ranges"))
-    here = F.filter("ranges", lambda r: (r["first"] <= F.col("nth")) & (F.col("nth") < r["first"] + r["n"]))
-    starts = starts.join(shards, ["sid", "times"]).select("sid", "block", "start", F.element_at(here, 1)["shard"].alias("shard"))
-    joined = dealt(base if keep else small.withColumn("row", F.lit(None).cast("boolean"))).join(starts, ["sid", "block"])
-    shuffle = F.xxhash64("h", F.lit(seed + 1))
-    in_block = Window.partitionBy("sid", "block").orderBy(shuffle, "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    begin = F.col("start") + F.coalesce(F.sum("size").over(in_block), F.lit(0))
-    placed = joined.withColumn("begin", begin)
-    extra = F.greatest(F.lit(0), F.least(F.col("size"), F.col("lacks") - F.col("begin")))
-    out = placed.withColumn("extra", extra).withColumn("taken", F.col("rounds") * F.col("size") + F.col("extra"))
-    full = (F.col("extra") == F.col("size")) & (F.col("size") > 0)
-    cut = F.when(full, 0).otherwise(F.col("extra"))
-    return out.select("doc_id", "source", "size", "source_size", "target", "taken", (F.col("rounds") + full.cast("long")).alias("copies"), cut.alias("cut"), "shard", F.xxhash64("h", "begin", F.lit(seed + 2)).alias("place"), "row")
+    targets = source_targets(of_source, share=share, most=most).withColumn("goal", goal).withColumn("rounds", rounds)
+    targets = targets.withColumns({"blocks": F.least(F.lit(most_blocks), F.greatest(F.lit(1), F.ceil(F.col("source_size") / block_words))).cast("long"), "lacks": F.col("goal") - F.col("rounds") * F.col("source_size")})
+    quota = F.when(F.col("source_size") > 0, F.round(F.col("lacks") * F.col("blocks") / F.col("source_size"))).otherwise(0).cast("long")
+    sid = F.row_number().over(Window.orderBy(F.col("source").isNull(), "source"))
+    targets = written(targets.withColumns({"quota": quota, "sid": sid}), "targets")
+
+    parts = F.explode(F.array(F.struct((F.col("rounds") + 1).alias("times"), F.col("quota").alias("blocks")), F.struct(F.col("rounds").alias("times"), (F.col("blocks") - F.col("quota")).alias("blocks"))))
+    tree = splitting_tree(targets.select(F.col("sid").alias("source"), parts.alias("p")).select("source", "p.*"), levels=levels, seed=seed)
+    shards = tree.withColumnRenamed("source", "sid").join(targets.select("sid", "rounds"), "sid").groupBy("sid", "shard").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("times") > F.col("rounds"), F.col("n")).otherwise(0)).alias("drawn"))
+    first = F.sum("n").over(Window.partitionBy("sid").orderBy("shard")) - F.col("n")
+    pools = shards.withColumn("first", first).where("n > 0").groupBy("sid").agg(F.array_sort(F.collect_list(F.struct("first", "n", "drawn", "shard"))).alias("pools"))
+    known = targets.join(pools, "sid")
+    placed = _in_pool(_joined(sizes, known)).groupBy("sid", "block", "order").agg(F.sum("size").alias("words"), F.first("lacks").alias("lacks"))
+    w = Window.partitionBy("sid").orderBy("order")
+    runs = placed.withColumn("before", F.sum("words").over(w) - F.col("words"))
+    seam = runs.where((F.col("before") < F.col("lacks")) & (F.col("before") + F.col("words") > F.col("lacks")))
+    seam = seam.groupBy("sid").agg(F.min(F.struct("before", "block", "order")).alias("seam"))
+    # all blocks lie before the seam of a source that lacks just as many words as blocks end at
+    reached = runs.where(F.col("before") + F.col("words") <= F.col("lacks")).groupBy("sid").agg(F.max("order").alias("reached"))
+    return written(known.join(seam, "sid", "left").join(reached, "sid", "left"), "pools")
+
+
+def _joined(rows: DataFrame, sources: DataFrame) -> DataFrame:
+    """rows (source, h and others) with the row of their source (a small table) and their block."""
+    known = sources.withColumnRenamed("source", "s_")
+    return rows.join(known, F.col("source").eqNullSafe(F.col("s_"))).drop("s_").withColumn("block", F.pmod("h", "blocks"))
+
+
+def _in_pool(rows: DataFrame) -> DataFrame:
+    """Adds the shard of the block, whether that draws it, and its place in the order of the draw."""
+    pool = F.get(F.filter("pools", lambda p: (p["first"] <= F.col("block")) & (F.col("block") < p["first"] + p["n"])), F.lit(0))
+    out = rows.withColumn("pool_", pool)
+    drawn = F.col("block") - F.col("pool_.first") < F.col("pool_.drawn")
+    return out.withColumns({"shard": F.col("pool_.shard"), "order": F.struct((~drawn).alias("left"), F.col("block").alias("at"))}).drop("pool_")
+
+
+OPTIONS = {"share": 1.5, "most": 2.0, "block_words": 1 << 16, "most_blocks": 1 << 16, "levels": 3, "seed": 42}
+
+
+def _taken(rows: DataFrame, sources: DataFrame, size: Column, seed: int) -> DataFrame:
+    """rows (doc_id, source, h and others) with size, rounds, extra, full, shard and place, from what _drawn says of their sources.
+
+    Only the documents of each source's seam block are ordered, by a second
+    hash, and the one there at which the source has its words is taken in part.
+    """
+    placed = _in_pool(_joined(rows, sources))
+    at_seam = F.coalesce(F.col("block") == F.col("seam.block"), F.lit(False))
+    whole = F.coalesce(F.col("order") <= F.col("reached"), F.lit(False))
+    plain = placed.where(~at_seam).withColumn("size", size)
+    plain = plain.withColumns({"extra": F.when(whole, F.col("size")).otherwise(0).cast("long"), "nth": F.lit(0)})
+    w = Window.partitionBy("sid").orderBy(F.xxhash64("h", F.lit(seed + 1)), "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    seam = placed.where(at_seam).withColumn("size", size)
+    left = F.col("lacks") - F.col("seam.before") - (F.sum("size").over(w) - F.col("size"))
+    seam = seam.withColumns({"extra": F.greatest(F.lit(0), F.least(F.col("size"), left)).cast("long"), "nth": F.row_number().over(w)})
+    return plain.unionByName(seam).withColumn("place", F.xxhash64("h", "nth", F.lit(seed + 2)))
+
+
+def _rows(docs: DataFrame, seed: int) -> DataFrame:
+    return docs.select("doc_id", "source", F.xxhash64("doc_id", "text", F.lit(seed)).alias("h"), word_count(F.col("text")).alias("size"))
 
 
 def mix_plan(docs: DataFrame, **options) -> DataFrame:
     """Per row of docs: doc_id, source, size, source_size, target, taken, copies, cut, shard, place.
 
-    Every document is taken floor(target / source_size) times, and what then
-    lacks is drawn from blocks: a hash deals the documents of a source into
-    about source_size / block_words blocks in permuted order, documents within
-    a block are shuffled by a second hash, and words are taken in that order
-    until the source has its target. The document at the end is taken in part
-    (its first cut words, one copy more if over 0), so the source meets its
-    rounded target exactly.
-
-    The tree deals each source's quota of drawn blocks to 2^levels shards in
-    disjoint ranges, and in trees of their own the blocks that only whole
-    rounds take and those that aren't taken: in every shard, sources have their
-    shares of the mix but for the chance of the draw. place orders the rows of
-    a shard at random. Only sums by block are ordered source by source, never
-    documents.
-
-    Options: share, most, block_words, levels, seed. Null text has no words
-    and is taken 0 words; null sources form one source, ranked last; rows with
-    equal ids and texts are ordered as one after the other (they are alike);
-    an empty table gives an empty result; further columns are ignored. Reruns
-    agree, as hashes take the place of chance.
+    Every document is taken floor(target / source_size) times; what then lacks
+    is drawn in blocks. A hash deals the documents of a source into blocks in
+    permuted order. The splitting tree shares the source's exact quota of
+    blocks, and in a tree of its own those that aren't drawn, among 2^levels
+    shards; each shard has a disjoint pool of blocks and draws its first ones.
+    As blocks differ in words, the draw goes on into blocks left over or stops
+    short in the last one drawn until the source has its rounded target
+    exactly: the document at the end is taken in part (its first cut words, one
+    copy more if over 0). In every shard sources have their shares of the mix
+    but for the chance of the draw; place orders the rows of a shard at random.
+
+    Only sums of at most most_blocks blocks of a source are ordered, and the
+    documents of one block.
+
+    Options: share, most, block_words, most_blocks, levels, seed. Null text has
+    no words and is taken 0 words; null sources form one source, ranked last;
+    rows with equal ids and texts are ordered as one after the other (they are
+    alike); an empty table gives an empty result; further columns are ignored,
+    whatever their names. Reruns agree, as hashes take the place of chance.
     """
-    return _placed(docs, [], **options).drop("row")
+    o = OPTIONS | options
+    small = written(_rows(docs, o["seed"]), "sizes")
+    out = _taken(small.withColumnRenamed("size", "words_"), _drawn(small, **o), F.col("words_"), o["seed"])
+    full = (F.col("extra") == F.col("size")) & (F.col("size") > 0)
+    cut = F.when(full, 0).otherwise(F.col("extra"))
+    taken = F.col("rounds") * F.col("size") + F.col("extra")
+    return out.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), (F.col("rounds") + full.cast("long")).alias("copies"), cut.alias("cut"), "shard", "place")
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
@@ -176,16 +220,23 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
 
     They are whole copies, and the one cut document of each source at its
     first words, joined by spaces. Each row has its own share of the plan, also
-    where ids are null or repeated; copies of a row are shuffled one by one.
+    where ids or texts are null, empty or repeated; copies of a row are
+    shuffled one by one; rows without words don't come. An empty table gives an
+    empty result; further columns are kept, whatever their names. Texts are
+    read twice, once for their sizes, and shuffled once, into the shards.
     """
-    plan = _placed(docs, docs.columns, **options).where("taken > 0")
-    copies = F.concat(F.array_repeat(F.lit(0).cast("long"), F.col("copies").cast("int")), F.when(F.col("cut") > 0, F.array("cut")).otherwise(F.array().cast("array<long>")))
-    spread = plan.select("row.*", "shard", "place", F.posexplode(copies).alias("copy_", "words_"))
-    spread = spread.orderBy("shard", F.xxhash64("place", "copy_"))
-    tail = F.split(F.regexp_replace("text", r"^[\x20\x09-\x0D]+", ""), WORD_BREAK)
-    cut_text = F.concat_ws(" ", F.slice(tail, 1, F.greatest(F.lit(1), F.col("words_").cast("int"))))
-    text = F.when(F.col("words_") == 0, F.col("text")).otherwise(cut_text)
-    out = spread.withColumn("text", text)
+    o = OPTIONS | options
+    sources = _drawn(written(_rows(docs, o["seed"]).select("source", "h", "size"), "sizes"), **o)
+    rows = docs.select("doc_id", "source", F.xxhash64("doc_id", "text", F.lit(o["seed"])).alias("h"), F.struct(*(docs[c] for c in docs.columns)).alias("row"))
+    worded = F.col("row.text").rlike(r"[^\x20\x09-\x0D]")
+    out = _taken(rows.where(worded), sources, word_count(F.col("row.text")), o["seed"])
+    full = F.col("extra") == F.col("size")
+    copies = F.concat(F.array_repeat(F.lit(0).cast("long"), (F.col("rounds") + full.cast("long")).cast("int")), F.when(~full & (F.col("extra") > 0), F.array("extra")).otherwise(F.array().cast("array<long>")))
+    spread = out.select("row", "shard", "place", F.posexplode(copies).alias("copy", "words")).orderBy("shard", F.xxhash64("place", "copy"))
+    tail = F.split(F.regexp_replace("row.text", r"^[\x20\x09-\x0D]+", ""), WORD_BREAK)
+    cut_text = F.concat_ws(" ", F.slice(tail, 1, F.greatest(F.lit(1), F.col("words").cast("int"))))
+    text = F.when(F.col("words") == 0, F.col("row.text")).otherwise(cut_text)
+    changed = {"text": text}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("words_") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return out.select(docs.columns)
+        changed["n_chars"] = F.when(F.col("words") == 0, F.col("row.n_chars")).otherwise(F.length(text).cast("long"))
+    return spread.select(*[changed.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
