@@ -14,11 +14,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from trackweave.llm.common import WordTable, byte_groups, text_bytes, written
+from trackweave.llm.pieces import kept
 
 STRIP = string.punctuation
 #: Bits of the seed filter that is sent to every worker: 4 MB, whatever the benchmark's size.
 FILTER_BITS = 25
-_WORDS: list[WordTable] = []
 
 
 def _hashes(words: list[bytes]) -> np.ndarray:
@@ -28,11 +28,10 @@ def _hashes(words: list[bytes]) -> np.ndarray:
 
 
 def text_hashes(texts: list[bytes]) -> list[np.ndarray]:
-    if not _WORDS:
-        _WORDS.append(WordTable(_hashes, 150_000))
+    table = kept(("hashes",), lambda: WordTable(_hashes, 150_000))
     cut = [t.split() for t in texts]
-    at = _WORDS[0].lookup([w for ws in cut for w in ws])
-    flat = _WORDS[0].rows[at] if len(at) else np.zeros(0, np.uint64)
+    at = table.lookup([w for ws in cut for w in ws])
+    flat = table.rows[at] if len(at) else np.zeros(0, np.uint64)
     return [part[part != 0] for part in np.split(flat, np.cumsum([len(ws) for ws in cut])[:-1])]
 
 

@@ -37,6 +37,8 @@ def save_array(uri: str, values: np.ndarray) -> None:
 def map_array(uri: str) -> np.ndarray:
     """A stored array, memory-mapped; from a store without local paths it is copied to an unlinked local file first."""
     if uri not in _MAPPED:
+        if _MAPPED and not _same_model(uri):
+            _MAPPED.clear()  # another model's arrays
         system, path = fs.FileSystem.from_uri(uri)
         if isinstance(system, fs.LocalFileSystem):
             _MAPPED[uri] = np.load(path, mmap_mode="r")
@@ -50,6 +52,11 @@ def map_array(uri: str) -> np.ndarray:
     return _MAPPED[uri]
 
 
+def _same_model(uri: str) -> bool:
+    """Whether the arrays mapped so far lie in the folder of the model that uri belongs to."""
+    return any(uri.startswith(root) for root in {u.split("/lm-")[0] + "/lm-" + u.split("/lm-")[1].split("/")[0] for u in _MAPPED if "/lm-" in u})
+
+
 def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
@@ -177,17 +184,22 @@ def discounts(of: list[int]) -> np.ndarray:
     return np.array([0.0, *(float(np.clip(k - (k + 1) * y * of[k + 1] / of[k], 0.01, k)) for k in (1, 2, 3))])
 
 
-def fit_kneser_ney(docs: DataFrame, *, text_column: str = "text", shards: int | None = None, run_keys: int = 1 << 21) -> KneserNey:
+def fit_kneser_ney(docs: DataFrame, *, text_column: str = "text", shards: int | None = None, run_keys: int = 1 << 21, shard_bytes: int = 64 << 20) -> KneserNey:
     """Count words and pairs of the whole texts of docs and write the model's arrays to the shared folder.
 
     Each task counts up to run_keys keys at a time and passes on sorted packed
     runs, one row for each shard; shards (as many as shuffle partitions unless
-    given) are equal ranges of a hash, so no frequent word makes a large one,
-    and each is merged by one task. The driver sees a row for each shard.
-    Null texts count as empty: an end token alone.
+    given, and one for each shard_bytes of text at least) are equal ranges of
+    a hash, so no frequent word makes a large one, and each is merged by one
+    task that holds about as many bytes of runs. The driver sees a row for each
+    shard. Ids have 32 bits: over 2^32 distinct words are an error. Null and
+    empty texts count as an end token alone, repeated rows as often as they
+    stand; an empty table gives a model that knows nothing.
     """
     spark = docs.sparkSession
-    shards = shards or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    if not shards:
+        size = docs.agg(F.sum(F.octet_length(text_column))).first()[0] or 0
+        shards = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // shard_bytes))
     model = KneserNey(scratch(spark, "lm"), words=[""] * shards, first_id=[0] * shards, pairs=[""] * shards)
     texts = docs.select(F.col(text_column).alias("text"))
     folder = model.folder
@@ -221,6 +233,8 @@ def fit_kneser_ney(docs: DataFrame, *, text_column: str = "text", shards: int |
         model.tokens += r["total"]
     rows = list(model.first_id)
     model.distinct = sum(rows)
+    if model.distinct >= (1 << 32) - 1:
+        raise ValueError("over 2^32 distinct words")
     model.first_id = [sum(rows[:s]) for s in range(shards)]
     model.texts = int(model.find(word_hashes([END]))[1][0])
     model.span = -(-(model.distinct + 1) // shards)

@@ -154,14 +154,24 @@ def block_keys(code: Column, radius: int, blocks: int) -> Column:
     return F.array(*keys)
 
 
-def near_pairs(codes: DataFrame, *, radius: int = 4, blocks: int = 6, chunk: int = 1024) -> DataFrame:
+def blocks_for(codes: int, radius: int, chunk: int = 1024) -> int:
+    """Blocks to cut a code into: so many that a bucket, in which all but radius of them agree, holds few of that many random codes."""
+    blocks = radius + 2
+    while codes > chunk << 64 * (blocks - radius) // blocks and blocks < 2 * radius + 2:
+        blocks += 1
+    return blocks
+
+
+def near_pairs(codes: DataFrame, *, radius: int = 4, blocks: int | None = None, chunk: int = 1024) -> DataFrame:
     """Links (a, b), a < b, that connect all distinct codes (column code) as all pairs within the radius would.
 
-    Codes meet in buckets of equal blocks. A bucket of over chunk codes is
+    Codes meet in buckets of equal blocks; unless given, their number follows
+    that of the codes, so that buckets don't grow with it. A bucket of over chunk codes is
     divided into chunks by a hash and each pair of chunks becomes a group of
     its own, so no task holds more than twice chunk codes of it; no pair is
     left out.
     """
+    blocks = blocks or blocks_for(codes.count(), radius, chunk)
     keyed = codes.select("code", F.explode(block_keys(F.col("code"), radius, blocks)).alias("key"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     # half as many codes as chunk to a chunk on average, as a hash fills them unevenly
@@ -232,7 +242,7 @@ def fingerprints(df: DataFrame, id_column: str = "doc_id", text_column: str = "t
     return df.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).mapInArrow(run, f"id {kind}, code long")
 
 
-def simhash_components(df: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", radius: int = 4, blocks: int = 6) -> DataFrame:
+def simhash_components(df: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", radius: int = 4, blocks: int | None = None) -> DataFrame:
     """Per row of df: id, fingerprint (16 hex digits) and component_id, the smallest id reachable over links.
 
     Texts link where their fingerprints differ in at most radius bits. Copies

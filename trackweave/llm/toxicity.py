@@ -8,10 +8,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackweave.llm.common import WordTable, byte_groups, safe_pieces, text_bytes
+from trackweave.llm.pieces import kept
 
 STRIP = string.punctuation.encode()
 POWER, MIX = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
@@ -85,14 +86,16 @@ class ConvNet:
         vectors = self.vectors(words)
         return np.concatenate([vectors @ tap for tap in self.taps], axis=1)
 
-    def pool(self, rows: np.ndarray, at: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """Largest filter outputs of each run of words, before the bias; rows ends with a zero row for places beyond the end."""
+    def pool(self, rows: np.ndarray, at: np.ndarray, counts: np.ndarray, goes_on: np.ndarray | None = None) -> np.ndarray:
+        """Largest filter outputs of each run of words, before the bias; rows ends with a zero row for places beyond the end.
+
+        A run that goes_on has no end of its own: only windows that lie in it whole count.
+        """
         pad = max(self.widths) - 1
         padded = np.full(int(counts.sum() + (pad + 1) * len(counts)), len(rows) - 1)
         start = np.cumsum(counts + pad + 1) - counts - pad - 1
         padded[np.arange(len(at)) + np.repeat(start - (np.cumsum(counts) - counts), counts)] = at
         padded = np.append(padded, np.full(pad, len(rows) - 1))
-        stops = np.stack([start, start + np.maximum(counts, 1)], axis=1).ravel()
         out, tap, n = [], 0, len(padded) - pad
         for width in self.widths:
             total = None
@@ -100,7 +103,11 @@ class ConvNet:
                 part = rows[:, tap * self.filters : (tap + 1) * self.filters][padded[k : k + n]]
                 total = part if total is None else total + part
                 tap += 1
-            out.append(np.maximum.reduceat(total, stops, axis=0)[::2])
+            windows = np.maximum(counts, 1) if goes_on is None else np.where(goes_on, counts - width + 1, np.maximum(counts, 1))
+            stops = np.stack([start, start + np.maximum(windows, 1)], axis=1).ravel()
+            best = np.maximum.reduceat(total, stops, axis=0)[::2]
+            best[windows < 1] = -np.inf
+            out.append(best)
         return np.concatenate(out, axis=1)
 
     def probability(self, pooled: np.ndarray) -> np.ndarray:
@@ -214,24 +221,26 @@ def best_cut(p: np.ndarray, y: np.ndarray) -> float:
     return float(1 / (1 + np.exp(-middle)))
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, *, max_rows: int = 5000, max_bytes: int = 32 << 20, **options) -> ConvNet | None:
-    """Train on at most max_rows labelled documents (half of them toxic at most) and max_bytes of whole texts, in the order of a hash of the ids.
+def fit_toxicity(docs: DataFrame, labels: DataFrame, *, max_rows: int = 5000, max_bytes: int = 16 << 20, **options) -> ConvNet | None:
+    """Train on at most max_rows labelled documents, half of each kind at most, and the whole texts that begin within max_bytes, in the order of a hash of the ids.
 
     The sample is chosen from the labels alone and joined to the texts by a
-    broadcast of at most max_rows rows. None without labels of both kinds.
+    broadcast of at most max_rows rows; rows beyond max_rows (repeated ids) or
+    max_bytes are left out in Spark, before anything reaches the driver. Null
+    ids and labels teach nothing, null and empty texts count as such. None
+    without labels of both kinds, as with an empty table.
     """
     known = labels.where("toxic is not null and doc_id is not null").select("doc_id", "toxic").distinct()
     h = F.xxhash64("doc_id")
     picked = known.where("toxic = 1").orderBy(h, "doc_id").limit(max_rows // 2).union(known.where("toxic = 0").orderBy(h, "doc_id").limit(max_rows // 2))
-    rows = docs.select("doc_id", "lang", "text").join(F.broadcast(picked), "doc_id").withColumn("h", h).collect()
-    texts, toxic, languages, total = [], [], [], 0
-    for r in sorted(rows, key=lambda r: (r["h"], r["doc_id"], r["toxic"], r["text"] or "")):
-        text = (r["text"] or "").encode()
-        if total + len(text) <= max_bytes:
-            total += len(text)
-            texts.append(text)
-            toxic.append(r["toxic"])
-            languages.append(r["lang"])
+    joined = docs.select("doc_id", "lang", "text").join(F.broadcast(picked), "doc_id").withColumns({"h": h, "n": F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"), "t": F.xxhash64("text")})
+    order = ["h", "doc_id", "toxic", "t"]
+    first = joined.drop("text").orderBy(*order).limit(max_rows)
+    before = F.sum("n").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    fits = first.withColumn("before", before).where(F.col("before") < max_bytes).select(*order).distinct()
+    rows = joined.join(F.broadcast(fits), order).select("h", "doc_id", "toxic", "lang", "text").limit(max_rows).collect()
+    rows.sort(key=lambda r: (r["h"], r["doc_id"], r["toxic"], r["text"] or ""))
+    texts, toxic, languages = [(r["text"] or "").encode() for r in rows], [r["toxic"] for r in rows], [r["lang"] for r in rows]
     y = np.array(toxic)
     if len(set(toxic)) < 2:
         return None
@@ -242,8 +251,8 @@ def score_toxicity(df: DataFrame, net: ConvNet | None, *, batch_bytes: int = 2 <
     """Per document: doc_id, score, predicted (score >= 0.5), threshold (of its language, else 0.5) and flagged (score >= threshold).
 
     Every word of the whole text passes the filters. Long texts go in pieces
-    that overlap by the widest filter less one word, so pooling sees each
-    window. Null and empty texts score what the bias gives; without a model
+    that overlap by the widest filter less one word, and only the last one has
+    an end, so pooling sees the windows of the whole text and no others. Null and empty texts score what the bias gives; without a model
     every score is 0. Null or repeated ids are scored row by row; an empty
     table gives an empty result; columns beyond doc_id, lang and text are ignored.
     """
@@ -251,8 +260,7 @@ def score_toxicity(df: DataFrame, net: ConvNet | None, *, batch_bytes: int = 2 <
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = shared.value
-        if net is not None and not hasattr(net, "table"):
-            net.table = WordTable(net.responses, 300_000)
+        table = kept(("toxicity", id(net)), lambda: WordTable(net.responses, 300_000)) if net is not None else None
         for batch in batches:
             texts = text_bytes(batch.column(1))
             languages = batch.column(2).to_pylist()
@@ -261,17 +269,18 @@ def score_toxicity(df: DataFrame, net: ConvNet | None, *, batch_bytes: int = 2 <
                 pad = max(net.widths) - 1
                 pooled = np.full((len(texts), len(net.widths) * net.filters), -np.inf, np.float32)
                 pieces = [(i, p) for i, t in enumerate(texts) for p in safe_pieces(t, batch_bytes)]
+                goes_on = np.array([i == j for (i, _), (j, _) in zip(pieces, [*pieces[1:], (-1, b"")])], bool)
                 tail: dict[int, list[bytes]] = {}
                 for a, b in byte_groups([len(p) for _, p in pieces], batch_bytes):
                     words = []
                     for i, p in pieces[a:b]:
                         ws = tail.get(i, []) + p.split()
-                        tail = {i: ws[-pad:]}
+                        tail = {i: ws[-pad:] if pad else []}
                         words.append(ws)
-                    at = net.table.lookup([w for ws in words for w in ws])
-                    rows = net.table.rows[: len(net.table.index)] if len(at) else np.zeros((0, sum(net.widths) * net.filters), np.float32)
+                    at = table.lookup([w for ws in words for w in ws])
+                    rows = table.rows[: len(table.index)] if len(at) else np.zeros((0, sum(net.widths) * net.filters), np.float32)
                     rows = np.concatenate([rows, np.zeros((1, rows.shape[1]), np.float32)])
-                    np.maximum.at(pooled, [i for i, _ in pieces[a:b]], net.pool(rows, at, np.array([len(ws) for ws in words], np.int64)))
+                    np.maximum.at(pooled, [i for i, _ in pieces[a:b]], net.pool(rows, at, np.array([len(ws) for ws in words], np.int64), goes_on[a:b]))
                 score = net.probability(pooled)
             threshold = np.array([(net.thresholds if net else {}).get(x, 0.5) for x in languages])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array(threshold, pa.float64()), pa.array(score >= threshold)], ["doc_id", "score", "predicted", "threshold", "flagged"])

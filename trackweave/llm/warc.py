@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import json
 import uuid
 from collections.abc import Iterable, Iterator
@@ -108,13 +109,13 @@ class WarcReader(DataSourceReader):
                 yield f
 
     def partitions(self) -> list[WarcFile]:
-        """A partition for each file: those that manifests list, or all archives of a folder without one."""
+        """A partition for each file: those that manifests list, or all archives (.warc and .warc.gz) of a folder without one."""
         system, folder = fs.FileSystem.from_uri(self.path)
         if system.get_file_info(folder).type == fs.FileType.File:
             return [WarcFile(self.path)]
         found = [f for f in system.get_file_info(fs.FileSelector(folder, allow_not_found=True)) if f.type == fs.FileType.File]
         lists = [f for f in found if f.base_name.startswith(MANIFEST)]
-        names = [f.base_name for f in found if f.base_name.endswith(".warc")]
+        names = [f.base_name for f in found if f.base_name.endswith((".warc", ".warc.gz"))]
         if lists:
             names = []
             for f in lists:
@@ -127,8 +128,9 @@ class WarcReader(DataSourceReader):
             return
         system, name = fs.FileSystem.from_uri(partition.uri)
         rows, size = [], 0
-        with system.open_input_file(name) as stored:
-            for row in records(stored, self.wanted, self.payload):
+        packed = name.endswith(".gz")
+        with gzip.GzipFile(fileobj=system.open_input_stream(name, compression=None)) if packed else system.open_input_file(name) as stored:
+            for row in records(Forward(stored) if packed else stored, self.wanted, self.payload):
                 rows.append(row)
                 size += len(row["payload"] or b"") + 1024
                 if size >= self.batch_bytes:
@@ -138,37 +140,63 @@ class WarcReader(DataSourceReader):
             yield pa.RecordBatch.from_pylist(rows, ARROW)
 
 
+class Forward:
+    """A stream that can only be read on, as one whose later parts are asked for by place."""
+
+    def __init__(self, stream):
+        self.stream, self.at, self.held = stream, 0, b""
+
+    def read_at(self, n: int, at: int) -> bytes:
+        if at < self.at:
+            raise ValueError("a place already passed")
+        while at > self.at + len(self.held):  # passed over a piece at a time
+            self.at, self.held = self.at + len(self.held), self.stream.read(min(1 << 20, at - self.at - len(self.held)))
+            if not self.held:
+                return b""
+        self.at, self.held = at, self.held[at - self.at :]
+        while len(self.held) < n and (more := self.stream.read(n - len(self.held))):
+            self.held += more
+        return self.held[:n]
+
+
 def records(stored, wanted: dict[str, set[str]], payload: bool, ahead: int = 2048) -> Iterator[dict]:
-    """Records that pass: the head is read first, and the block only if the head passes and the payload is asked for."""
-    at, end = 0, stored.size()
-    while at < end:
-        head, n = b"", ahead
-        while (stop := head.find(b"\r\n\r\n")) < 0:
-            head = stored.read_at(min(n, end - at), at)
-            if b"\r\n\r\n" not in head and n >= end - at:
+    """Records that pass: the head is read first, and the block only if the head passes and the payload is asked for.
+
+    Bytes of a head outside UTF-8 become replacement characters; a head that
+    doesn't end, has no length, or a record that is cut off is an error.
+    """
+    at = 0
+    while True:
+        n = ahead
+        while (stop := (head := stored.read_at(n, at)).find(b"\r\n\r\n")) < 0:
+            if not head.strip():
+                return
+            if len(head) < n:
                 raise ValueError(f"record head at byte {at} doesn't end")
             n *= 4
-        lines = head[:stop].decode().split("\r\n")
+        lines = head[:stop].decode(errors="replace").split("\r\n")
         if not lines[0].startswith("WARC/"):
             raise ValueError(f"no record at byte {at}")
         headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-        length = int(headers["content-length"])
-        block = at + stop + 4
-        if block + length > end:
-            raise ValueError(f"record at byte {at} is cut off")
+        if not headers.get("content-length", "").isdigit():
+            raise ValueError(f"record at byte {at} has no length")
+        length, begin, block = int(headers["content-length"]), at, at + stop + 4
         at = block + length + 4
         row = {c: headers.get(h) for c, h in HEADERS.items()}
         if row["payload_digest"]:
             row["payload_digest"] = row["payload_digest"].rpartition(":")[2]
-        if any(row[c] not in values for c, values in wanted.items()):
-            continue
-        body = None
-        if payload and row["record_type"] != "revisit":
-            inside = block - (at - length - 4 - block)  # the block may lie in what was read for the head
-            have = head[stop + 4 : stop + 4 + length] if inside else b""
-            data = have if len(have) == length else have + stored.read_at(length - len(have), block + len(have))
-            body = data.partition(b"\r\n\r\n")[2] if "application/http" in headers.get("content-type", "") else data
-        yield row | {"content_length": length, "headers": list(headers.items()), "payload": body}
+        if all(row[c] in values for c, values in wanted.items()):
+            body = None
+            if payload and row["record_type"] != "revisit":
+                data = head[stop + 4 : stop + 4 + length]  # the block may lie in what was read for the head
+                if len(data) < length:
+                    data = stored.read_at(length, block) if isinstance(stored, Forward) else data + stored.read_at(length - len(data), block + len(data))
+                if len(data) < length:
+                    raise ValueError(f"record at byte {begin} is cut off")
+                body = data.partition(b"\r\n\r\n")[2] if "application/http" in headers.get("content-type", "") else data
+            yield row | {"content_length": length, "headers": list(headers.items()), "payload": body}
+        if length and not stored.read_at(1, block + length - 1):
+            raise ValueError(f"record at byte {begin} is cut off")
 
 
 class WarcSource(DataSource):
