@@ -423,12 +423,6 @@ def mean_embedding(spark, sf_dir):
     return means.select("label", F.posexplode("vector").alias("pos", "value")).withColumn("value", F.round("value", 5))
 
 
-@query(None)
-def centroid_labels(spark, sf_dir):
-    rows = table(spark, sf_dir, "embeddings")
-    return V.nearest_vector(rows, "vec_id", "embedding", V.mean_vectors(rows, "label", "embedding"), "label").withColumn("similarity", F.round("similarity", 5))
-
-
 @query("""SELECT video, source, target, round(greatest(0, 0.4 * least(1, greatest(0.5, (ca + cb) / 2)) + 0.3 * (CASE WHEN fits THEN least(1, 0.5 * cb + 0.3 * least(1, votes / 10)) WHEN differs THEN -0.1 ELSE 0 END)
        + 0.15 * (1 - least(1, gap / 400)) + 0.1 * greatest(0, least(1, 1 - d / 120)) + 0.05 * 0.25), 6) AS composite,
        CASE WHEN ta <> tb THEN 'team_mismatch' WHEN differs AND votes >= 3 AND cb >= 0.25 THEN 'confirmed_jersey_mismatch' WHEN d > 120 + 0.15 * gap THEN 'spatial_distance' WHEN NOT fits THEN 'missing_jersey_or_strong_appearance' END AS rejection
