@@ -11,6 +11,12 @@ def segment_number(frame: Column, length: int) -> Column:
     return F.floor(frame / length).cast("int")
 
 
+def routed_detections(rows: DataFrame, cls: str, confidence: str, *, ball: float, person: float) -> DataFrame:
+    """Detections of known classes over their class's threshold, with the track group that they go to: players, referees or ball."""
+    group = F.when(F.col(cls).isin("ball", "sports ball"), "ball").when(F.col(cls) == "referee", "referees").when(F.col(cls).isin("person", "player", "goalkeeper"), "players")
+    return rows.withColumn("track_group", group).where(F.col(confidence) >= F.when(F.col("track_group") == "ball", ball).when(F.col("track_group").isNotNull(), person))
+
+
 def running_segments(df: DataFrame, keys: list[str], order: str, is_cut: Column, name: str = "segment_index") -> DataFrame:
     """How many cuts lie at or before each row."""
     w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
