@@ -132,11 +132,12 @@ def train(texts: list[bytes], toxic: np.ndarray, languages: list[str | None], *,
     Unless epochs is given, about steps batches are seen, in 3 to 20 rounds.
     """
     net, rng = ConvNet.new(buckets, dim, filters, widths, seed), np.random.default_rng(seed)
-    words = [t.split() for t in texts]
-    index = {w: i for i, w in enumerate(dict.fromkeys(w for ws in words for w in ws))}
+    index: dict[bytes, int] = {}
+    docs = [np.fromiter((index.setdefault(w, len(index)) for w in t.split()), np.int32) for t in texts]  # words of one text at a time
     flat, n_ids = word_features(list(index), buckets)
+    index.clear()
+    flat = flat.astype(np.int32)
     begin, weights = np.cumsum(n_ids) - n_ids, feature_weights(n_ids)
-    docs = [np.fromiter((index[w] for w in ws), np.int64, len(ws)) for ws in words]
     order = rng.permutation(len(docs))
     held, used = order[: int(calibrate * len(docs))], order[int(calibrate * len(docs)) :]
     weight = np.where(toxic == 1, min(10.0, max(1.0, (toxic[used] == 0).sum() / max(1, (toxic[used] == 1).sum()))), 1.0)
@@ -195,10 +196,11 @@ def train(texts: list[bytes], toxic: np.ndarray, languages: list[str | None], *,
                 np.add.at(g_embed, inverse, np.repeat(g_vec[hot], size, axis=0) * weights[cut])
                 step("embed", ids_, g_embed)
     held = held if len(held) else order
-    p, y = net.score([texts[i] for i in held]), toxic[held]
+    score = lambda: np.concatenate([np.zeros(0), *[net.score([texts[i] for i in held[a : a + 64]]) for a in range(0, len(held), 64)]])
+    p, y = score(), toxic[held]
     cut = best_cut(p, y)
     net.shift = float(-np.log(cut / (1 - cut)))
-    p = net.score([texts[i] for i in held])
+    p = score()
     of = np.array([languages[i] or "" for i in held])
     for language in sorted(set(of) - {""}):
         mine = of == language
@@ -225,8 +227,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, max_rows: int = 5000, ma
     """Train on at most max_rows labelled documents, half of each kind at most, and the whole texts that begin within max_bytes, in the order of a hash of the ids.
 
     The sample is chosen from the labels alone and joined to the texts by a
-    broadcast of at most max_rows rows; rows beyond max_rows (repeated ids) or
-    max_bytes are left out in Spark, before anything reaches the driver. Null
+    broadcast of at most max_rows rows; rows that repeat count once, and those
+    beyond max_rows or max_bytes are left out in Spark, before anything reaches the driver. Null
     ids and labels teach nothing, null and empty texts count as such. None
     without labels of both kinds, as with an empty table.
     """
@@ -238,9 +240,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, max_rows: int = 5000, ma
     first = joined.drop("text").orderBy(*order).limit(max_rows)
     before = F.sum("n").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
     fits = first.withColumn("before", before).where(F.col("before") < max_bytes).select(*order).distinct()
-    rows = joined.join(F.broadcast(fits), order).select("h", "doc_id", "toxic", "lang", "text").limit(max_rows).collect()
-    rows.sort(key=lambda r: (r["h"], r["doc_id"], r["toxic"], r["text"] or ""))
-    texts, toxic, languages = [(r["text"] or "").encode() for r in rows], [r["toxic"] for r in rows], [r["lang"] for r in rows]
+    chosen = joined.join(F.broadcast(fits), order).dropDuplicates(order).select("h", "doc_id", "toxic", "lang", F.coalesce(F.encode("text", "UTF-8"), F.lit(b"")).alias("text"))
+    rows = sorted(map(tuple, chosen.toLocalIterator()), key=lambda r: (*r[:3], r[4]))  # a partition at a time in the driver's JVM
+    texts, toxic, languages = [bytes(r[4]) for r in rows], [r[2] for r in rows], [r[3] for r in rows]
+    del rows
     y = np.array(toxic)
     if len(set(toxic)) < 2:
         return None
