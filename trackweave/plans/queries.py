@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from trackweave.functions import scalars as S
 from trackweave.operators import aggregates as A
-from trackweave.operators import edges as E
 from trackweave.operators import identity as I
 from trackweave.operators import joins as J
 from trackweave.operators import stateful as SF
 from trackweave.operators import vectors as V
 from trackweave.operators import windows as W
 from trackweave.plans import registry
+from trackweave.plans import assignment, constraints, evaluation, fields, linking, merging, propagation, readings  # noqa: F401, I001  (they register their queries)
 from trackweave.plans.registry import ORACLE_SQL, QUERIES, table  # noqa: F401
 from trackweave.streaming import windows as ST
 
@@ -421,21 +421,3 @@ n AS (SELECT label, sqrt(sum(m * m)) AS norm FROM u GROUP BY label)"""
 def mean_embedding(spark, sf_dir):
     means = V.mean_vectors(table(spark, sf_dir, "embeddings"), "label", "embedding")
     return means.select("label", F.posexplode("vector").alias("pos", "value")).withColumn("value", F.round("value", 5))
-
-
-@query("""SELECT video, source, target, round(greatest(0, 0.4 * least(1, greatest(0.5, (ca + cb) / 2)) + 0.3 * (CASE WHEN fits THEN least(1, 0.5 * cb + 0.3 * least(1, votes / 10)) WHEN differs THEN -0.1 ELSE 0 END)
-       + 0.15 * (1 - least(1, gap / 400)) + 0.1 * greatest(0, least(1, 1 - d / 120)) + 0.05 * 0.25), 6) AS composite,
-       CASE WHEN ta <> tb THEN 'team_mismatch' WHEN differs AND votes >= 3 AND cb >= 0.25 THEN 'confirmed_jersey_mismatch' WHEN d > 120 + 0.15 * gap THEN 'spatial_distance' WHEN NOT fits THEN 'missing_jersey_or_strong_appearance' END AS rejection
-FROM p""", OBS + """,
-t AS (SELECT track_id % 16 AS video, min(frame) AS id, min(frame) AS start, max(frame) AS end, min(team_id) AS team, avg(confidence) AS conf, arg_min(x, frame) AS first_x, arg_max(x, frame) AS last_x, arg_min(y, frame) AS first_y, arg_max(y, frame) AS last_y, min(jersey_number) AS number, count(jersey_number) AS votes FROM s GROUP BY track_id, session),
-p AS (SELECT a.video, a.id AS source, b.id AS target, b.start - a.end AS gap, sqrt((b.first_x - a.last_x) ** 2 + (b.first_y - a.last_y) ** 2) AS d, a.conf AS ca, b.conf AS cb, a.team AS ta, b.team AS tb, b.votes,
-             coalesce(a.number = b.number, false) AS fits, coalesce(a.number <> b.number, false) AS differs FROM t a JOIN t b ON a.video = b.video AND b.start - a.end BETWEEN 1 AND 400 WHERE a.id % 2 = 0 AND b.id % 2 = 1 AND a.number IS NOT NULL)""")
-def propagation_edges(spark, sf_dir):
-    spans = session_spans(spark, sf_dir).join(session_rows(spark, sf_dir).groupBy("track_id", "session").agg(F.min("jersey_number").alias("number"), F.count("jersey_number").alias("votes")), ["track_id", "session"])
-    empty = {"head": "double", "player_id": "string", "goalkeeper": "boolean"}
-    side = spans.withColumns({"number_confidence": F.col("team_confidence"), "look": F.lit(None).cast("array<double>")} | {c: F.lit(None).cast(kind) for c, kind in empty.items()})
-    whole = F.struct(*[c for c in side.columns if c != "video"])
-    pairs = J.candidate_edges(side, ["video"], id="id", start="start", end="end", max_gap=400, bucket=400).select("video", "source", "target").where("source % 2 = 0 and target % 2 = 1")
-    pairs = pairs.join(side.where("number is not null").select("video", F.col("id").alias("source"), whole.alias("s")), ["video", "source"]).join(side.select("video", F.col("id").alias("target"), whole.alias("t")), ["video", "target"])
-    edges = E.score_edges(pairs.withColumn("cut", F.lit(None).cast("int")), E.EdgeRules(max_gap=400, max_distance=120))
-    return edges.select("video", "source", "target", F.round("composite", 6).alias("composite"), "rejection")
