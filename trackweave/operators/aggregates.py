@@ -15,14 +15,14 @@ def mode_first_seen(df: DataFrame, keys: list[str], value: str, order: str, name
 
 
 def tracklet_summary(rows: DataFrame, keys: list[str], *, order: str, number: str, confidence: str, team: str) -> DataFrame:
-    """Per tracklet: extent, modes of team and number (first seen), mean confidence over the rows of that number, and its rows."""
-    base = rows.groupBy(*keys).agg(F.count("*").alias("num_frames"), F.min(order).alias("start_frame"), F.max(order).alias("end_frame"))
-    teams = mode_first_seen(rows, keys, team, order, "main_team")
-    numbers = mode_first_seen(rows, keys, number, order, "main_number")
-    own = rows.join(numbers, keys).where(F.col(number) == F.col("main_number"))
-    mean = own.groupBy(*keys).agg(F.avg(confidence).alias("mean_confidence"))
-    out = base.join(teams, keys, "left").join(numbers, keys, "left").join(mean, keys, "left")
-    return out.withColumn("frame_span", F.col("end_frame") - F.col("start_frame") + 1).withColumn("mean_confidence", F.coalesce("mean_confidence", F.lit(0.0)))
+    """Per tracklet: extent, modes of team and number (first seen), mean confidence over the rows of that number, and its rows.
+
+    Rows are counted by (tracklet, number) and by (tracklet, team); all else follows from these counts.
+    """
+    parts = rows.groupBy(*keys, number).agg(F.count("*").alias("n"), F.min(order).alias("first"), F.max(order).alias("last"), F.avg(confidence).alias("mean"))
+    best = F.max_by(F.struct(F.col(number).alias("number"), "n", "mean"), F.when(F.col(number).isNotNull(), F.struct("n", -F.col("first"))))
+    out = parts.groupBy(*keys).agg(F.sum("n").alias("num_frames"), F.min("first").alias("start_frame"), F.max("last").alias("end_frame"), best.alias("b")).join(mode_first_seen(rows, keys, team, order, "main_team"), keys, "left")
+    return out.withColumns({"main_number": F.col("b.number"), "main_number_votes": F.col("b.n"), "mean_confidence": F.coalesce("b.mean", F.lit(0.0)), "frame_span": F.col("end_frame") - F.col("start_frame") + 1}).drop("b")
 
 
 def weighted_vote(rows: DataFrame, keys: list[str], *, number: str, confidence: str, weight: Column | None = None) -> DataFrame:

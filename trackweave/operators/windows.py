@@ -35,11 +35,20 @@ def sessions(df: DataFrame, keys: list[str], order: str, gap: Column, name: str
 
 
 def refractory(df: DataFrame, keys: list[str], order: str, score: Column, threshold: float, min_gap: int) -> DataFrame:
-    """Rows whose score reaches the threshold, each at least min_gap after the last accepted one: a fold over the hits of a key in order."""
-    hits = df.where(score >= threshold).groupBy(*keys).agg(F.array_sort(F.collect_list(order)).alias("hits"))
-    start = F.array().cast("array<bigint>")
-    kept = F.aggregate("hits", start, lambda acc, x: F.when((F.size(acc) == 0) | (x - F.coalesce(F.get(acc, F.size(acc) - 1), x) >= min_gap), F.concat(acc, F.array(x.cast("long")))).otherwise(acc))
-    return hits.select(*keys, F.explode(kept).alias(order))
+    """Rows whose score reaches the threshold, each at least min_gap after the last accepted one: the hits of a key as a sorted stream with that one as its state."""
+    from trackweave.operators.stateful import fold_ordered
+
+    def step(state: dict, rows):
+        take = []
+        for at in rows[order].tolist():
+            take.append("last" not in state or at - state["last"] >= min_gap)
+            if take[-1]:
+                state["last"] = at
+        return rows[take]
+
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    hits = df.where(score >= threshold).select(*keys, order)
+    return fold_ordered(hits, keys, [order], step, ", ".join(f"`{c}` {kinds[c]}" for c in hits.columns))
 
 
 def compact_ranges(df: DataFrame, keys: list[str], value: str) -> DataFrame:
