@@ -274,3 +274,18 @@ def segment_or_direct(rows: DataFrame, segmented: DataFrame, direct: DataFrame,
     d = direct.select(F.col("display").alias("display_track_id"), F.col("jersey_number").alias("d_"))
     out = first_covering(rows, s, "display_track_id", "frame", width=width).join(d, "display_track_id", "left")
     return out.withColumns({"read_number": F.coalesce("s_", "d_"), "from_segment": F.col("s_").isNotNull()}).drop("start_frame", "end_frame", "s_", "d_")
+
+
+def ranked_candidates(rows: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
+    """Candidates of several fields as one ranked list: keys, jersey_number, confidence, votes, source, rank.
+
+    Of a number that several fields have, the first field's counts; ranks go by confidence, then votes, then the fields' order.
+    """
+    parts = None
+    for i, f in enumerate(fields):
+        one = rows.select(*keys, F.lit(i).alias("field"), F.lit(f).alias("source"), F.posexplode(f).alias("pos", "c")).where("c.jersey_number is not null")
+        parts = one if parts is None else parts.unionByName(one)
+    flat = parts.select(*keys, "field", "source", "pos", F.col("c.jersey_number").alias("jersey_number"), F.coalesce("c.confidence", F.lit(0.0)).alias("confidence"), F.coalesce("c.votes", F.lit(0)).alias("votes"))
+    first = F.row_number().over(Window.partitionBy(*keys, "jersey_number").orderBy("field", "pos"))
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("confidence"), F.desc("votes"), "field", "pos"))
+    return flat.withColumn("nth_", first).where("nth_ = 1").drop("nth_").withColumn("rank", rank).drop("field", "pos")

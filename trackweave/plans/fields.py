@@ -121,3 +121,27 @@ def detections_by_class(spark, sf_dir):
     word = F.element_at(F.create_map(*[F.lit(x) for x in ("view", "ball", "error", "sports ball", "purchase", "referee", "click", "person", "signup", "goalkeeper")]), F.col("event_type"))
     rows = table(spark, sf_dir, "events").select("event_id", word.alias("cls"), (F.col("value") / 500).alias("confidence"))
     return routed_detections(rows, "cls", "confidence", ball=0.02, person=0.05).select("event_id", "track_group")
+
+
+@query("""SELECT raw_track_id, round(1e-9 + (x1 + x2) / 2, 5) AS cx, round(1e-9 + y2, 5) AS fy, round(1e-9 + sqrt(((x1 + x2) / 2 - x) ** 2 + (y2 - y) ** 2), 5) AS distance, round(1e-9 + common / (2 * 70.5 * 100.25 - common), 6) AS iou
+FROM (SELECT *, greatest(0, 70.5 - abs(x - y)) * greatest(0, 100.25 - abs(x - y)) AS common FROM q)""", TRACKS + BOX)
+def box_geometry(spark, sf_dir):
+    from trackweave.functions import scalars as S
+
+    box = F.struct("x1", "y1", "x2", "y2")
+    by = F.col("x") - F.col("y")
+    moved = F.struct((F.col("x1") + by).alias("x1"), (F.col("y1") + by).alias("y1"), (F.col("x2") + by).alias("x2"), (F.col("y2") + by).alias("y2"))
+    rows = boxed(spark, sf_dir).withColumns({"b": box, "m": moved})
+    at = F.struct("x", "y")
+    return rows.select("raw_track_id", rounded(S.center(F.col("b"))["x"], 5).alias("cx"), rounded(S.foot(F.col("b"))["y"], 5).alias("fy"), rounded(S.distance(S.foot(F.col("b")), at), 5).alias("distance"), rounded(S.iou(F.col("b"), F.col("m")), 6).alias("iou"))
+
+
+@query("""SELECT vec_id, round(1e-9 + least(1, greatest(0, (1 - list_sum(list_transform(list_zip(embedding, b), lambda z: CAST(z[1] AS DOUBLE) * z[2])) / sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))) / sqrt(list_sum(list_transform(b, lambda x: CAST(x AS DOUBLE) * x)))) / 2)), 4) AS away, round(1e-9 + list_avg(list_transform(embedding, lambda x: greatest(0, least(1, CAST(x AS DOUBLE))))), 4) AS held
+FROM (SELECT *, lead(embedding) OVER (ORDER BY vec_id) AS b FROM embeddings) WHERE b IS NOT NULL""")
+def vector_distances(spark, sf_dir):
+    from trackweave.functions import scalars as S
+
+    rows = table(spark, sf_dir, "embeddings")
+    nxt = rows.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("b"))
+    held = F.aggregate(F.transform("embedding", lambda x: S.clamp(x.cast("double"))), F.lit(0.0), lambda s, v: s + v) / F.size("embedding")
+    return rows.join(nxt, "vec_id").select("vec_id", rounded(S.visual_distance(F.col("embedding"), F.col("b")), 4).alias("away"), rounded(held, 4).alias("held"))

@@ -199,3 +199,11 @@ def segment_players(spark, sf_dir):
 def segment_or_display_numbers(spark, sf_dir):
     a = assignments(spark, sf_dir)
     return R.segment_or_direct(tracks(spark, sf_dir), a.where("confidence >= 0.3"), a.groupBy("display").agg(F.min("jersey_number").alias("jersey_number")), width=48).select("raw_track_id", "read_number", "from_segment")
+
+
+@query("""SELECT raw_track_id, jersey_number, confidence, votes, source, CAST(row_number() OVER (PARTITION BY raw_track_id ORDER BY confidence DESC, votes DESC, field, pos) AS INTEGER) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY raw_track_id, jersey_number ORDER BY field, pos) AS nth FROM (SELECT raw_track_id, 0 AS field, 'own' AS source, 0 AS pos, jersey_number, coalesce(jersey_confidence, 0) AS confidence, coalesce(jersey_votes, 0) AS votes FROM r WHERE jersey_number IS NOT NULL
+    UNION ALL SELECT raw_track_id, 1, 'candidates', generate_subscripts(candidates, 1) - 1, unnest(candidates).jersey_number, unnest(candidates).confidence, unnest(candidates).votes FROM r)) WHERE nth = 1""", TRACKS)
+def ranked_candidates(spark, sf_dir):
+    own = F.when(F.col("jersey_number").isNotNull(), F.array(F.struct("jersey_number", F.col("jersey_confidence").alias("confidence"), F.col("jersey_votes").alias("votes"))))
+    return R.ranked_candidates(tracks(spark, sf_dir).withColumn("own", own), ["raw_track_id"], ["own", "candidates"])
