@@ -133,6 +133,21 @@ def test_propagation_against_plain_python(spark):
         assert {(r["video"], r["target"]): (r["reason"], len(r["frames"])) for r in decided} == want
 
 
+def test_propagation_goes_on_from_hop_to_hop(spark):
+    """A chain a - b - c: b takes a's player in the first hop; c can only from b, in the second, if propagated nodes are sources."""
+    kinds = "video int, node long, start long, end long, team int, team_confidence double, number int, number_confidence double, head double, votes int, player_id string, confidence double, depth int, goalkeeper boolean, referee boolean, first_x double, first_y double, last_x double, last_y double, look array<double>"
+    node = lambda n, start, player: (0, n, start, start + 9, 1, 0.9, 7, 0.9, 0.9, 9, player, 0.9 if player else None, 0 if player else None, False, False, 0.0, 0.0, 0.0, 0.0, [1.0, 0.0])
+    nodes = spark.createDataFrame([node(1, 0, "p7"), node(2, 20, None), node(3, 140, None)], kinds)
+    rows = spark.createDataFrame([(0, f, n, "p7" if n == 1 else None, 1, None) for n, a in ((1, 0), (2, 20), (3, 140)) for f in range(a, a + 10)] + [(0, 25, 9, "p7", 1, None)], "video int, frame long, node long, player_id string, team int, jersey_number int")
+    roster = spark.createDataFrame(ROSTER, "player_id string, team int, jersey_number int, role string")
+    p = P.Propagation(min_composite=0.1, min_margin=0.0, from_propagated=True, partial=True, hops=3)
+    got, known, log = P.propagate(rows, nodes, roster, rules=P.EdgeRules(max_gap=112), p=p)
+    assert {(r["hop"], r["source"], r["target"]) for r in P.report(log).collect()} == {(1, 1, 2), (2, 2, 3)}
+    assert {(r["node"], r["player_id"], r["depth"]) for r in known.collect()} == {(1, "p7", 0), (2, "p7", 1), (3, "p7", 2)}
+    held = Counter(r["node"] for r in got.where("player_id = 'p7' and jersey_number = 7").collect())
+    assert held == {2: 9, 3: 10}  # frame 25 has the player elsewhere
+
+
 def test_links_by_number(spark):
     found = QL.summaries(spark, SF).where("reliable").collect()
     got = {(r["video"], r["id"]): (r["cluster"], r["follows"]) for r in L.number_links(QL.summaries(spark, SF), max_gap=300, max_distance=400.0).collect()}
