@@ -9,14 +9,17 @@ from pyspark.sql import functions as F
 from trackweave.llm.common import documents
 from trackweave.llm.decontaminate import contaminated
 from trackweave.llm.language_id import fit_languages, identify_languages
+from trackweave.llm.minhash import minhash_components
 from trackweave.llm.mixing import mix_plan
 from trackweave.llm.ngram_lm import fit_kneser_ney, score_texts
 from trackweave.llm.quality import fit_quality, quality_rules
 from trackweave.llm.simhash import simhash_components
+from trackweave.llm.spelling import spelling_variants
 from trackweave.llm.token_counts import token_counts
 from trackweave.llm.token_store import token_store
 from trackweave.llm.toxicity import fit_toxicity, score_toxicity
 from trackweave.llm.warc import round_trip
+from trackweave.llm.whitening import fit_whitening, whiten
 
 #: The tokenizer file that ids and counts are taken from.
 TOKENIZER = "word_bpe_49k.json"
@@ -73,7 +76,20 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(docs, model).withColumn("held_out", F.coalesce(fold(7) == 2, F.lit(False))).withColumn("train_tokens", F.lit(model.tokens).cast("long"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_token_counts, op4_quality, op5_token_store, op6_mixing, op7_decontamination, op8_language_id, op9_warc, op10_lm_scoring)}
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return whiten(vectors, fit_whitening(vectors))
+
+
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_components(documents(spark, sf_dir))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_token_counts, op4_quality, op5_token_store, op6_mixing, op7_decontamination, op8_language_id, op9_warc, op10_lm_scoring, op11_whitening, op12_minhash, op13_spelling)}
 
 ORACLE_SQL = {
     "op9_warc": """
@@ -85,4 +101,20 @@ ORACLE_SQL = {
                CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
         FROM f
     """,
+    "op12_minhash": r"""
+        WITH RECURSIVE w AS (
+                 SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+             s AS (
+                 SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) <= 4 THEN [array_to_string(words, ' ')]
+                        ELSE list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i:i + 3], ' ')) END) AS shingle
+                 FROM w),
+             n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+             p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2),
+             l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 80 * (x.n + y.n - shared)),
+             e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+             r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+             c AS (SELECT a, min(b) AS low FROM r GROUP BY a)
+        SELECT doc_id, coalesce(n.n, 0) AS n_shingles, least(doc_id, coalesce(low, doc_id)) AS component_id, doc_id <= coalesce(low, doc_id) AS kept
+        FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.a = doc_id
+    """,
 }
