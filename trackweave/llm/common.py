@@ -8,8 +8,10 @@ from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Words are runs of bytes outside space and \t..\r, which is what bytes.split() cuts at.
 WORD_BREAK = r"[\x20\x09-\x0D]+"
@@ -37,6 +39,31 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def hash_filter(hashes: DataFrame, most_bits: int = 25) -> Callable[[Column], Column] | None:
+    """Predicate on a column of 64-bit hashes: true for all of `hashes` (one long column), for few others.
+
+    One bit each for 16 times as many places as hashes, 2^most_bits (4 MB) at
+    most; None where so few bits would tell little, and all rows are to pass.
+    """
+    spark, (name,) = hashes.sparkSession, hashes.columns
+    n = hashes.count()
+    bits = min(max(16, (16 * n).bit_length()), most_bits)
+    if 2 * n > 1 << bits:
+        return None
+    place = F.shiftrightunsigned(name, 64 - bits)
+    words = hashes.select(F.shiftright(place, 5).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(31)).cast("int")).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+    table = np.zeros(1 << (bits - 5), np.uint32)
+    table[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64).astype(np.uint32)
+    sent = spark.sparkContext.broadcast(table)
+
+    @F.pandas_udf("boolean")
+    def may_hold(column: pd.Series) -> pd.Series:
+        at = column.to_numpy(np.int64).view(np.uint64) >> np.uint64(64 - bits)
+        return pd.Series((sent.value[(at >> np.uint64(5)).astype(np.int64)] >> (at & np.uint64(31)).astype(np.uint32) & np.uint32(1)).astype(bool))
+
+    return may_hold
+
+
 def lower_ascii(text: bytes) -> bytes:
     return text.translate(_LOWER)
 

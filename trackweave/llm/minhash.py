@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackweave.llm.common import byte_groups, lower_ascii, text_bytes, written
+from trackweave.llm.common import byte_groups, hash_filter, lower_ascii, text_bytes, written
 from trackweave.llm.simhash import components
 
 BANDS, ROWS, STEP = 30, 5, 16
@@ -240,6 +240,9 @@ def minhash_components(df: DataFrame, *, id_column: str = "doc_id", text_column:
     classes = components(near)
     members = written(classes.join(texts.select("node", "id", "text_hash", "n"), "node").select("node", F.col("root").alias("group"), F.col("n").alias("weight"), "id", "text_hash"), "classes")
     docs = df.select(F.col(id_column).alias("id"), F.xxhash64(text_column).alias("text_hash"), F.col(text_column).alias("text"))
+    may_hold = hash_filter(members.select("text_hash"))
+    if may_hold:  # most texts are in no class: their words needn't be shuffled
+        docs = docs.where(may_hold("text_hash"))
 
     def with_texts(placed: DataFrame) -> DataFrame:
         own = members.select("node", F.col("id").alias("rep"), "text_hash").join(placed, "node")
