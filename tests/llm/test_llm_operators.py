@@ -314,7 +314,9 @@ def test_mixing(spark, odd, table):
         assert 0 <= r["taken"] <= 2 * r["size"] and r["shard"] is not None
     target = water_fill(sizes)
     assert all(abs(r["target"] - target[r["source"]]) < 1e-6 and r["source_size"] == sizes[r["source"]] for r in rows)
-    assert all(abs(taken[s] - target[s]) <= 0.5 for s in sizes)
+    longest = {s: max(r["size"] for r in rows if r["source"] == s) for s in sizes}
+    assert all(abs(taken[s] - target[s]) <= 0.5 + longest[s] / 2 for s in sizes)
+    assert all(r["size"] == 0 or r["taken"] % r["size"] == 0 for r in rows)  # whole documents only
     assert sorted(map(str, mixing.mix_plan(df, block_words=2000).collect())) == sorted(map(str, rows))
 
 
@@ -371,7 +373,7 @@ def test_mixing_draws_through_the_tree(spark):
             begin = 0
             for b in order:
                 extra = sum(r["taken"] - known["rounds"] * r["size"] for r in rows if r["source"] == s and block[r["doc_id"], s] == b)
-                assert extra == max(0, min(words[b], lacks - begin))
+                assert abs(extra - max(0, min(words[b], lacks - begin))) <= 9  # half of the longest document
                 begin += words[b]
     first = sets[42, 3]
     assert all(len(first & other) < 0.95 * len(first) for k, other in sets.items() if k != (42, 3))
@@ -408,7 +410,7 @@ def test_mixing_shards_hold_the_mix(spark):
     got = [(r["doc_id"], r["source"]) for r in mixing.mix_documents(df, share=1.0, block_words=100).collect()]
     shard = {r["doc_id"]: r["shard"] for r in rows}
     order = [shard[d] for d, _ in got]
-    assert order == sorted(order) and Counter(got) == Counter({(r["doc_id"], r["source"]): r["copies"] + (r["cut"] > 0) for r in rows if r["taken"]})
+    assert order == sorted(order) and Counter(got) == Counter({(r["doc_id"], r["source"]): r["copies"] for r in rows if r["taken"]})
     first = [s for (_, s), k in zip(got, order) if k == 0]
     assert sum(a != b for a, b in zip(first, first[1:])) > 0.3 * len(first)  # shuffled inside the shard, not source by source
 

@@ -178,17 +178,20 @@ def fit_languages(df: DataFrame, *, order: int = 4, max_rows: int = 4000, max_by
     first, whatever its length. Both bounds are kept in Spark: rows are ranked
     by language without their texts, and texts beyond the share never reach
     the driver. Rows with null id, text or lang teach nothing; repeated rows
-    count as often as they stand; an empty table gives a model of no language.
+    count once; an empty table gives a model of no language.
     """
     rows = df.where("lang is not null and doc_id is not null and text is not null").select("lang", F.xxhash64("doc_id", "text").alias("h"), "doc_id", F.octet_length("text").cast("long").alias("n"), "text")
     n = rows.select("lang").distinct().count()
     share, most = max(1, max_rows // max(1, n)), max(1, max_bytes // max(1, n))
     w = Window.partitionBy("lang").orderBy("h", "doc_id")
-    ranked = rows.drop("text").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= share)
+    # ranked in 64 parts of a language first, so that no task sorts a whole one
+    parts = Window.partitionBy("lang", F.pmod("h", F.lit(64))).orderBy("h", "doc_id")
+    ranked = rows.drop("text").dropDuplicates(["lang", "h", "doc_id"]).withColumn("rank", F.row_number().over(parts)).where(F.col("rank") <= share)
+    ranked = ranked.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= share)
     bounded = ranked.withColumn("before", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).where(F.col("before") < most)
     picked = bounded.select("lang", "h", "doc_id").distinct()
     texts: dict[str, list[bytes]] = {}
-    for r in rows.join(F.broadcast(picked), ["lang", "h", "doc_id"]).orderBy("lang", "h", "doc_id").select("lang", "text").collect():
+    for r in rows.join(F.broadcast(picked), ["lang", "h", "doc_id"]).dropDuplicates(["lang", "h", "doc_id"]).orderBy("lang", "h", "doc_id").select("lang", "text").collect():
         texts.setdefault(r["lang"], []).append(r["text"].encode())
     return ContextTrees.fit(texts, order)
 

@@ -165,7 +165,8 @@ def _taken(rows: DataFrame, sources: DataFrame, size: Column, seed: int) -> Data
     """rows (doc_id, source, h and others) with size, rounds, extra, full, shard and place, from what _drawn says of their sources.
 
     Only the documents of each source's seam block are ordered, by a second
-    hash, and the one there at which the source has its words is taken in part.
+    hash, and the one there at which the source has its words is taken whole or
+    not at all, whichever ends nearer to them.
     """
     placed = _in_pool(_joined(rows, sources))
     at_seam = F.coalesce(F.col("block") == F.col("seam.block"), F.lit(False))
@@ -175,7 +176,7 @@ def _taken(rows: DataFrame, sources: DataFrame, size: Column, seed: int) -> Data
     w = Window.partitionBy("sid").orderBy(F.xxhash64("h", F.lit(seed + 1)), "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     seam = placed.where(at_seam).withColumn("size", size)
     left = F.col("lacks") - F.col("seam.before") - (F.sum("size").over(w) - F.col("size"))
-    seam = seam.withColumns({"extra": F.greatest(F.lit(0), F.least(F.col("size"), left)).cast("long"), "nth": F.row_number().over(w)})
+    seam = seam.withColumns({"extra": F.when((left > 0) & (2 * left >= F.col("size")), F.col("size")).otherwise(0).cast("long"), "nth": F.row_number().over(w)})
     return plain.unionByName(seam).withColumn("place", F.xxhash64("h", "nth", F.lit(seed + 2)))
 
 
@@ -184,7 +185,7 @@ def _rows(docs: DataFrame, seed: int) -> DataFrame:
 
 
 def mix_plan(docs: DataFrame, **options) -> DataFrame:
-    """Per row of docs: doc_id, source, size, source_size, target, taken, copies, cut, shard, place.
+    """Per row of docs: doc_id, source, size, source_size, target, taken, copies, shard, place.
 
     Every document is taken floor(target / source_size) times; what then lacks
     is drawn in blocks. A hash deals the documents of a source into blocks in
@@ -192,9 +193,9 @@ def mix_plan(docs: DataFrame, **options) -> DataFrame:
     blocks, and in a tree of its own those that aren't drawn, among 2^levels
     shards; each shard has a disjoint pool of blocks and draws its first ones.
     As blocks differ in words, the draw goes on into blocks left over or stops
-    short in the last one drawn until the source has its rounded target
-    exactly: the document at the end is taken in part (its first cut words, one
-    copy more if over 0). In every shard sources have their shares of the mix
+    short in the last one drawn until the source has its rounded target; the
+    document at which that is reached is taken whole or not at all, whichever
+    ends nearer, so a source is off by half a document at most. In every shard sources have their shares of the mix
     but for the chance of the draw; place orders the rows of a shard at random.
 
     Only sums of at most most_blocks blocks of a source are ordered, and the
@@ -210,16 +211,14 @@ def mix_plan(docs: DataFrame, **options) -> DataFrame:
     small = written(_rows(docs, o["seed"]), "sizes")
     out = _taken(small.withColumnRenamed("size", "words_"), _drawn(small, **o), F.col("words_"), o["seed"])
     full = (F.col("extra") == F.col("size")) & (F.col("size") > 0)
-    cut = F.when(full, 0).otherwise(F.col("extra"))
     taken = F.col("rounds") * F.col("size") + F.col("extra")
-    return out.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), (F.col("rounds") + full.cast("long")).alias("copies"), cut.alias("cut"), "shard", "place")
+    return out.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), (F.col("rounds") + full.cast("long")).alias("copies"), "shard", "place")
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """The mixed documents themselves, in the columns of docs, ordered by shard and, inside it, by chance.
 
-    They are whole copies, and the one cut document of each source at its
-    first words, joined by spaces. Each row has its own share of the plan, also
+    They are whole copies. Each row has its own share of the plan, also
     where ids or texts are null, empty or repeated; copies of a row are
     shuffled one by one; rows without words don't come. An empty table gives an
     empty result; further columns are kept, whatever their names. Texts are
@@ -231,12 +230,6 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     worded = F.col("row.text").rlike(r"[^\x20\x09-\x0D]")
     out = _taken(rows.where(worded), sources, word_count(F.col("row.text")), o["seed"])
     full = F.col("extra") == F.col("size")
-    copies = F.concat(F.array_repeat(F.lit(0).cast("long"), (F.col("rounds") + full.cast("long")).cast("int")), F.when(~full & (F.col("extra") > 0), F.array("extra")).otherwise(F.array().cast("array<long>")))
-    spread = out.select("row", "shard", "place", F.posexplode(copies).alias("copy", "words")).orderBy("shard", F.xxhash64("place", "copy"))
-    tail = F.split(F.regexp_replace("row.text", r"^[\x20\x09-\x0D]+", ""), WORD_BREAK)
-    cut_text = F.concat_ws(" ", F.slice(tail, 1, F.greatest(F.lit(1), F.col("words").cast("int"))))
-    text = F.when(F.col("words") == 0, F.col("row.text")).otherwise(cut_text)
-    changed = {"text": text}
-    if "n_chars" in docs.columns:
-        changed["n_chars"] = F.when(F.col("words") == 0, F.col("row.n_chars")).otherwise(F.length(text).cast("long"))
-    return spread.select(*[changed.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
+    copies = F.array_repeat(F.lit(0), (F.col("rounds") + full.cast("long")).cast("int"))
+    spread = out.select("row", "shard", "place", F.posexplode(copies).alias("copy", "one")).orderBy("shard", F.xxhash64("place", "copy"))
+    return spread.select(*[F.col("row")[c].alias(c) for c in docs.columns])

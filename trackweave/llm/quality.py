@@ -184,11 +184,15 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, max_rows: int = 20_000, *
     """Fit on at most max_rows labelled documents, those first by a hash of their ids; None without labels of both kinds.
 
     The sample is drawn from the labels alone, so joining it to the documents
-    broadcasts at most max_rows pairs of numbers; statistics, not texts, reach the driver.
+    broadcasts at most max_rows pairs of numbers; the statistics of at most
+    max_rows documents, not texts, reach the driver. Labels and documents
+    without an id, and labels without a value, teach nothing; null and empty
+    texts count as texts without words; further columns are ignored.
     """
     picked = labels.where("quality is not null and doc_id is not null").select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(max_rows)
     sample = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
-    got = with_stats(sample).select("doc_id", "quality", "features").toPandas().sort_values(["doc_id", "quality"])
+    # repeated ids bring more rows than were picked: bounded again, without the texts
+    got = with_stats(sample).select("doc_id", "quality", "features").orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "features").limit(max_rows).toPandas().sort_values(["doc_id", "quality"])
     y = got["quality"].to_numpy(float)
     if len(set(y)) < 2:
         return None
@@ -226,7 +230,11 @@ def quality_rules(docs: DataFrame, trees: Trees | None, *, least_words: int = 20
 
 
 def keep_quality(docs: DataFrame, trees: Trees | None, *, least_words: int = 20, most_repeat: int = 30) -> DataFrame:
-    """The rows of docs that quality_rules keeps, whole: rows are dropped inside the Arrow pass, so texts are not joined back."""
+    """The rows of docs that quality_rules keeps, whole: rows are dropped inside the Arrow pass, so texts are not joined back.
+
+    Null and empty texts go, repeated rows and null ids are judged by their own
+    text; further columns stay; an empty table gives an empty one.
+    """
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -269,7 +269,8 @@ def drop_near_duplicates(df: DataFrame, **options) -> DataFrame:
     """
     key = F.xxhash64("text")
     rows = df.select(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", key.alias("key")).alias("doc_id"), "text")
-    kept = simhash_components(rows, **options).where("doc_id = component_id").select("doc_id.doc_id", F.col("doc_id.key").alias("key_")).distinct()
-    kept = kept.withColumnRenamed("doc_id", "id_")
-    found = df.withColumn("key_here", key).join(kept, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("key_here") == F.col("key_")), "left_semi")
-    return found.dropDuplicates(["doc_id", "key_here"]).select(df.columns)
+    kept = simhash_components(rows, **options).where("doc_id = component_id").select("doc_id.doc_id", F.col("doc_id.key").alias("key")).distinct()
+    # the row travels as one column, so that names of its columns can't clash
+    whole = df.select(F.col("doc_id").alias("id"), key.alias("own"), F.struct(*(df[c] for c in df.columns)).alias("row"))
+    found = whole.join(kept, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("own") == F.col("key")), "left_semi")
+    return found.dropDuplicates(["id", "own"]).select(*(F.col("row")[c].alias(c) for c in df.columns))

@@ -190,8 +190,8 @@ def variant_groups(words: DataFrame, *, times: int = 10, **options) -> DataFrame
     """
     words = written(words, "words")
     pairs = near_words(words, **options)
-    near = pairs.groupBy("word").agg(F.count("*").alias("n_near"), F.max("near_n").alias("top")).join(pairs.withColumnRenamed("near_n", "top"), ["word", "top"], "inner")
-    near = near.groupBy("word", "top", "n_near").agg(F.min("near").alias("near"))
+    best = F.min(F.struct((-F.col("near_n")).alias("fewer"), "near"))
+    near = pairs.groupBy("word").agg(F.count("*").alias("n_near"), best.alias("best")).select("word", "n_near", F.col("best.near").alias("near"), (-F.col("best.fewer")).alias("top"))
     fits = F.col("top") >= times * F.col("n")
     out = words.join(near, "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(fits, F.col("near")).alias("form"), F.when(fits, F.col("top")).alias("form_n"))
     out = written(out, "forms")
