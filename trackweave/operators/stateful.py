@@ -17,11 +17,13 @@ from trackweave.functions.scalars import cosine
 from trackweave.operators.joins import candidate_edges
 
 
-def fold_ordered(df: DataFrame, keys: list[str], order: list[str], step: Callable[[dict, pd.DataFrame], pd.DataFrame], schema: str, *, whole: list[str] | None = None) -> DataFrame:
+def fold_ordered(df: DataFrame, keys: list[str], order: list[str], step: Callable[[dict, pd.DataFrame], pd.DataFrame], schema: str, *, whole: list[str] | None = None, many: bool = False) -> DataFrame:
     """Apply step(state, rows) to consecutive rows of each key in order; state is an empty dict at a key's first rows.
 
     Rows that agree in the columns of whole (keys at least) come in one call;
-    without it a call has as many rows of the key as the batch holds.
+    without it a call has as many rows of the key as the batch holds. With many
+    a call has all of the batch's rows of the key that are whole, so that a
+    step that goes through frames by itself builds one table for them all.
     """
     whole = whole or []
 
@@ -46,8 +48,11 @@ def fold_ordered(df: DataFrame, keys: list[str], order: list[str], step: Callabl
 
         for pdf in batches:
             pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
-            some = parts(pdf, whole or keys) if len(pdf) else []
+            some = parts(pdf, whole if whole and not many else keys) if len(pdf) else []
             rest = some.pop() if whole and some else None
+            if many and rest is not None and len(last := parts(rest, whole)) > 1:
+                some.append(rest.iloc[: -len(last[-1])])
+                rest = last[-1]
             for part in some:
                 yield apply(part)
         if rest is not None:
