@@ -150,14 +150,17 @@ def test_propagation_goes_on_from_hop_to_hop(spark):
 
 def test_links_by_number(spark):
     found = QL.summaries(spark, SF).where("reliable").collect()
-    got = {(r["video"], r["id"]): (r["cluster"], r["follows"]) for r in L.number_links(QL.summaries(spark, SF), max_gap=300, max_distance=400.0).collect()}
+    got = {(r["video"], r["id"]): (r["cluster"], r["follows"]) for r in QL.number_links(spark, SF).collect()}
+    frames = {}
+    for r in QL.rows(spark, SF).collect():
+        frames.setdefault((r["video"], r["display_track_id"]), set()).add(r["frame"])
     want, members = {}, {}
     for s in sorted(found, key=lambda s: (s["start"], s["display_track_id"])):
         best = None
         for q in found:
             if (q["start"], q["display_track_id"]) >= (s["start"], s["display_track_id"]) or q["video"] != s["video"] or q["jersey_number"] != s["jersey_number"] or not 0 < s["start"] - q["end"] <= 300:
                 continue
-            if any(not (m["end"] < s["start"] or m["start"] > s["end"]) for m in members[want[q["video"], q["display_track_id"]][0], s["video"]]):
+            if any(frames[m["video"], m["display_track_id"]] & frames[s["video"], s["display_track_id"]] for m in members[want[q["video"], q["display_track_id"]][0], s["video"]]):
                 continue
             away = np.hypot(s["first_x"] - q["last_x"], s["first_y"] - q["last_y"])
             if away > 400 or not (q["team"] == s["team"] or min(q["team_confidence"], s["team_confidence"]) < 0.6):

@@ -87,6 +87,30 @@ def test_links_match_greedy(spark, seed):
     assert got == want and sum(f is not None for _, f in got.values()) > 10
 
 
+def test_spans_whose_frames_interleave_are_one_cluster(spark):
+    frames = {1: [0, 1], 2: [10, 11, 20, 21], 3: [15, 16, 25], 4: [16, 17]}
+    rows = spark.createDataFrame([("v", i, f) for i, fs in frames.items() for f in fs], "v string, id long, frame long")
+    ends = spark.createDataFrame([("v", i, min(fs), max(fs)) for i, fs in frames.items()], "v string, id long, start long, end long")
+    offers = spark.createDataFrame([("v", 1, 2, 1.0), ("v", 1, 3, 1.0), ("v", 1, 4, 1.0)], "v string, source long, target long, score double")
+    of = lambda spans: {r["id"]: r["cluster"] for r in SF.link_spans(spans, offers, "v", max_gap=100).collect()}
+    assert of(ends.join(SF.frame_ranges(rows, ["v", "id"], "frame"), ["v", "id"])) == {1: 1, 2: 1, 3: 1, 4: 4}
+    assert of(ends) == {1: 1, 2: 1, 3: 3, 4: 4}  # without their frames spans have all between their ends
+
+
+def test_frame_sets():
+    rng = np.random.default_rng(8)
+    for _ in range(200):
+        whole, runs = set(), SF.FrameSet()
+        for _ in range(12):
+            new = set(rng.integers(0, 60, rng.integers(1, 9)).tolist())
+            cut = sorted(f for f in new if f - 1 not in new)
+            ranges = [(f, next(g for g in range(f, 99) if g + 1 not in new)) for f in cut]
+            assert runs.meets(ranges) == bool(whole & new)
+            runs.add(ranges)
+            whole |= new
+            assert {f for a, b in zip(runs.first, runs.last) for f in range(a, b + 1)} == whole and all(b + 1 < a for b, a in zip(runs.last, runs.first[1:]))
+
+
 def test_mean_and_nearest_vectors(spark):
     df = spark.createDataFrame([(1, "a", [3.0, 0.0]), (2, "a", [5.0, 0.0]), (3, "b", [0.0, 2.0]), (4, "c", [1.0, 0.0]), (5, "c", [-1.0, 0.0]), (6, None, None), (7, "b", [0.0, 0.0])], "id int, k string, v array<double>")
     means = V.mean_vectors(df, "k", "v")

@@ -31,13 +31,19 @@ def number_summaries(rows: DataFrame, *, order: str = "at", min_frames: int = 8,
     return out.withColumn("reliable", ok)
 
 
-def number_links(summaries: DataFrame, *, max_gap: int = 250, max_distance: float = 140.0, sure: float = 0.60) -> DataFrame:
+def number_links(summaries: DataFrame, ranges: DataFrame | None = None, *, max_gap: int = 250, max_distance: float = 140.0, sure: float = 0.60) -> DataFrame:
     """Reliable displays chained through the same number: video, id, cluster, follows.
 
     Teams must agree unless one of them is unsure. Pairs meet by number in
     buckets of frames; whose cluster is free is then decided in order of start.
+    A cluster is free for a display that shares no frame with it; ranges (video,
+    display_track_id, ranges) are the displays' frames, without which each has
+    all from its start to its end.
     """
-    spans = summaries.where("reliable").select(F.struct("video", "jersey_number").alias("group"), F.col("display_track_id").alias("id"), "start", "end", "first_x", "first_y", "last_x", "last_y", "team", "team_confidence", F.lit(None).cast("array<double>").alias("look"))
+    reliable = summaries.where("reliable")
+    if ranges is not None:
+        reliable = reliable.join(ranges.select(*KEY, "ranges"), KEY)
+    spans = reliable.select(*([] if ranges is None else ["ranges"]), F.struct("video", "jersey_number").alias("group"), F.col("display_track_id").alias("id"), "start", "end", "first_x", "first_y", "last_x", "last_y", "team", "team_confidence", F.lit(None).cast("array<double>").alias("look"))
     agree = (F.col("p.team") == F.col("c.team")) | (F.col("p.team_confidence") < sure) | (F.col("c.team_confidence") < sure)
     flat = spans.withColumn("key", F.concat_ws(":", "group.video", "group.jersey_number")).drop("group")
     found = link_candidates(flat, "key", max_gap=max_gap, max_distance=max_distance, same_team=agree, min_cosine=-1.0)

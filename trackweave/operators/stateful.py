@@ -6,6 +6,7 @@ sorted stream of Arrow batches, so a key of any number of rows is never held.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from trackweave.functions.scalars import cosine
 from trackweave.operators.joins import candidate_edges
+from trackweave.operators.windows import compact_ranges
 
 
 def fold_ordered(df: DataFrame, keys: list[str], order: list[str], step: Callable[[dict, pd.DataFrame], pd.DataFrame], schema: str, *, whole: list[str] | None = None, many: bool = False) -> DataFrame:
@@ -154,7 +156,7 @@ def link_candidates(spans: DataFrame, key: str, *, max_gap: int, max_distance: f
     structs `p` and `c`. Pairs come from a join on buckets of frames.
     """
     edges = candidate_edges(spans, [key], id="id", start="start", end="end", max_gap=max_gap, bucket=max(1, max_gap))
-    whole = F.struct(*[c for c in spans.columns if c != key])
+    whole = F.struct(*[c for c in spans.columns if c not in (key, "ranges")])
     p = spans.select(key, F.col("id").alias("source"), whole.alias("p"))
     c = spans.select(key, F.col("id").alias("target"), whole.alias("c"))
     pairs = edges.join(p, [key, "source"]).join(c, [key, "target"])
@@ -170,32 +172,63 @@ def teams_agree(sure: float = 0.65) -> Column:
     return ~F.coalesce(against, F.lit(False))
 
 
+def frame_ranges(rows: DataFrame, keys: list[str], frame: str) -> DataFrame:
+    """keys, ranges: the frames of each span as sorted runs (first, last) of consecutive numbers."""
+    return compact_ranges(rows, keys, frame).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("first").cast("long").alias("first"), F.col("last").cast("long").alias("last")))).alias("ranges"))
+
+
+class FrameSet:
+    """Frames as sorted, disjoint runs: whether others are among them, and their union."""
+
+    def __init__(self) -> None:
+        self.first: list[int] = []
+        self.last: list[int] = []
+
+    def meets(self, ranges: list[tuple[int, int]]) -> bool:
+        for a, b in ranges:
+            i = bisect_right(self.first, b) - 1
+            if i >= 0 and self.last[i] >= a:
+                return True
+        return False
+
+    def add(self, ranges: list[tuple[int, int]]) -> None:
+        for a, b in ranges:
+            i, j = bisect_left(self.last, a - 1), bisect_right(self.first, b + 1)
+            if i < j:
+                a, b = min(a, self.first[i]), max(b, self.last[j - 1])
+            self.first[i:j], self.last[i:j] = [a], [b]
+
+
 def link_spans(spans: DataFrame, candidates: DataFrame, key: str, *, max_gap: int) -> DataFrame:
     """Chain spans in order of (start, id): key, id, cluster, follows.
 
     Each takes its candidate of the lowest score (then the smallest id) whose
-    cluster has no span that overlaps it; a span may be followed by several
-    that don't overlap. A cluster is named by its first span. Clusters that
-    ended more than max_gap before the span at hand can't be followed and leave
-    the state, which so holds the open clusters of one key only.
+    cluster has none of its frames; a span may be followed by several that
+    share no frame. A span's frames are its ranges (sorted runs, see
+    frame_ranges) or, without that column, all from start to end: spans whose
+    frames interleave can be one cluster. A cluster is named by its first span.
+    Clusters that ended more than max_gap before the span at hand can't be
+    followed and leave the state, which so holds the open clusters of one key only.
     """
     offers = candidates.groupBy(key, F.col("target").alias("id")).agg(F.array_sort(F.collect_list(F.struct("score", "source"))).alias("offers"))
-    rows = spans.select(key, "id", "start", "end").join(offers, [key, "id"], "left")
-    rows = rows.select(key, "id", "start", "end", F.coalesce(F.transform("offers", lambda o: o["source"]), F.array().cast("array<long>")).alias("sources"))
+    frames = F.col("ranges") if "ranges" in spans.columns else F.array(F.struct(F.col("start").alias("first"), F.col("end").alias("last")))
+    flat = [F.transform(frames, lambda r: r["first"].cast("long")).alias("first"), F.transform(frames, lambda r: r["last"].cast("long")).alias("last")]
+    rows = spans.select(key, "id", "start", "end", *flat).join(offers, [key, "id"], "left")
+    rows = rows.select(key, "id", "start", "end", "first", "last", F.coalesce(F.transform("offers", lambda o: o["source"]), F.array().cast("array<long>")).alias("sources"))
 
     def step(state: dict, part: pd.DataFrame) -> pd.DataFrame:
         if not state:
-            state |= {"of": {}, "members": {}, "last": {}, "next": 4096}
+            state |= {"of": {}, "frames": {}, "last": {}, "next": 4096}
         names, follows = [], []
-        for i, start, end, sources in zip(part["id"].tolist(), part["start"].tolist(), part["end"].tolist(), part["sources"].tolist()):
-            name, before = i, None
+        for i, start, end, first, last, sources in zip(*(part[c].tolist() for c in ("id", "start", "end", "first", "last", "sources"))):
+            name, before, own = i, None, list(zip(first, last))
             for source in sources:
                 cluster = state["of"].get(source)
-                if cluster is not None and all(e < start or s > end for s, e in state["members"][cluster]):
+                if cluster is not None and not state["frames"][cluster].meets(own):
                     name, before = cluster, source
                     break
             state["of"][i] = name
-            state["members"].setdefault(name, []).append((start, end))
+            state["frames"].setdefault(name, FrameSet()).add(own)
             state["last"][name] = max(end, state["last"].get(name, end))
             names.append(name)
             follows.append(before)
@@ -203,7 +236,7 @@ def link_spans(spans: DataFrame, candidates: DataFrame, key: str, *, max_gap: in
                 over = {c for c, e in state["last"].items() if e < start - max_gap}
                 state["of"] = {k: c for k, c in state["of"].items() if c not in over}
                 for c in over:
-                    del state["members"][c], state["last"][c]
+                    del state["frames"][c], state["last"][c]
                 state["next"] = 2 * len(state["of"]) + 4096
         return part[[key, "id"]].assign(cluster=names, follows=pd.array(follows, dtype="Int64"))
 

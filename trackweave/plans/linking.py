@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trackweave.operators import linking as L
+from trackweave.operators.stateful import frame_ranges
 from trackweave.plans.registry import query, rounded
 from trackweave.plans.tracks import TRACKS, tracks
 
@@ -32,12 +33,12 @@ def number_summaries(spark, sf_dir):
 
 @query(None)
 def number_links(spark, sf_dir):
-    return L.number_links(summaries(spark, sf_dir), max_gap=300, max_distance=400.0)
+    return L.number_links(summaries(spark, sf_dir), frame_ranges(rows(spark, sf_dir), L.KEY, "frame"), max_gap=300, max_distance=400.0)
 
 
 @query(None)
 def relinked_rows(spark, sf_dir):
-    return L.relinked(rows(spark, sf_dir), L.number_links(summaries(spark, sf_dir), max_gap=300, max_distance=400.0)).select("video", "frame", "raw_track_id", "display_track_id", "previous_display_id")
+    return L.relinked(rows(spark, sf_dir), L.number_links(summaries(spark, sf_dir), frame_ranges(rows(spark, sf_dir), L.KEY, "frame"), max_gap=300, max_distance=400.0)).select("video", "frame", "raw_track_id", "display_track_id", "previous_display_id")
 
 
 #: Two colour scores of each row, one for each team.

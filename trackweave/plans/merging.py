@@ -11,8 +11,8 @@ from trackweave.plans.tracks import TRACKS, players, tracks
 #: The base run knows little: a display is a track's quarter of the month, and only some of these have players or numbers.
 RUNS = """,
 disp AS (SELECT *, display_track_id * 10 + frame // 180 AS display, frame * 1000000000 + raw_track_id AS sq FROM r),
-base AS (SELECT video, frame, raw_track_id, display, sq, team, crop_quality, CASE WHEN display % 3 = 0 THEN jersey_number END AS jersey_number, CASE WHEN display % 3 = 0 THEN jersey_confidence END AS jersey_confidence, CASE WHEN display % 6 = 0 THEN player_id END AS player_id, CASE WHEN display % 6 = 0 THEN identity_confidence END AS identity_confidence FROM disp WHERE display % 7 <> 6),
-aux AS (SELECT video, frame, display, sq, team, CASE WHEN jersey_number % 10 < 4 THEN jersey_number % 4 * 9 + 1 END AS jersey_number, jersey_confidence, player_id, identity_confidence FROM disp WHERE display % 5 <> 4),
+base AS (SELECT video, frame, raw_track_id, display, sq, team, crop_quality, CASE WHEN display % 3 = 0 THEN jersey_number END AS jersey_number, CASE WHEN display % 3 = 0 THEN jersey_confidence END AS jersey_confidence, CASE WHEN display % 6 = 0 THEN player_id END AS player_id, CASE WHEN display % 6 = 0 THEN identity_confidence END AS identity_confidence FROM disp WHERE team_confidence >= 0.05 OR jersey_number IS NOT NULL),
+aux AS (SELECT video, frame, display, sq, team, CASE WHEN jersey_number % 10 < 4 THEN jersey_number % 4 * 9 + 1 END AS jersey_number, jersey_confidence, player_id, identity_confidence FROM disp WHERE team IS NOT NULL OR semantic_group IS NOT NULL),
 wn AS (SELECT video, display, team, jersey_number, count(*) AS support_frames, avg(coalesce(jersey_confidence, 0)) AS mean_confidence, quantile_cont(coalesce(jersey_confidence, 0), 0.5) AS median_confidence, quantile_cont(coalesce(jersey_confidence, 0), 0.75) AS p75_confidence, avg(coalesce(identity_confidence, 0)) AS mean_identity, quantile_cont(coalesce(identity_confidence, 0), 0.5) AS median_identity
   FROM aux WHERE team IS NOT NULL AND jersey_number IS NOT NULL GROUP BY video, display, team, jersey_number QUALIFY row_number() OVER (PARTITION BY video, display ORDER BY count(*) DESC, min(sq)) = 1),
 unk AS (SELECT video, display FROM base GROUP BY ALL HAVING count(player_id) = 0 AND count(jersey_number) = 0)"""
@@ -23,13 +23,13 @@ def _disp(spark, sf_dir):
 
 
 def base(spark, sf_dir):
-    out = _disp(spark, sf_dir).where("display % 7 <> 6")
+    out = _disp(spark, sf_dir).where("team_confidence >= 0.05 OR jersey_number IS NOT NULL")
     third, sixth = F.col("display") % 3 == 0, F.col("display") % 6 == 0
     return out.withColumns({"jersey_number": F.when(third, F.col("jersey_number")), "jersey_confidence": F.when(third, F.col("jersey_confidence")), "player_id": F.when(sixth, F.col("player_id")), "identity_confidence": F.when(sixth, F.col("identity_confidence"))})
 
 
 def aux(spark, sf_dir):
-    return _disp(spark, sf_dir).where("display % 5 <> 4").withColumn("jersey_number", F.when(F.col("jersey_number") % 10 < 4, F.col("jersey_number") % 4 * 9 + 1))
+    return _disp(spark, sf_dir).where("team is not null or semantic_group is not null").withColumn("jersey_number", F.when(F.col("jersey_number") % 10 < 4, F.col("jersey_number") % 4 * 9 + 1))
 
 
 @query("SELECT video, display, team, jersey_number, support_frames, round(1e-9 + mean_confidence, 6) AS mean_confidence, round(1e-9 + median_confidence, 6) AS median_confidence, round(1e-9 + p75_confidence, 6) AS p75_confidence, round(1e-9 + mean_identity, 6) AS mean_identity, round(1e-9 + median_identity, 6) AS median_identity FROM wn", TRACKS + RUNS)
@@ -172,7 +172,7 @@ def likely_causes(spark, sf_dir):
     return shown.select("video", "display", cause.alias("cause"))
 
 
-KEEPERS = ", kp AS (SELECT video, display FROM (SELECT *, coalesce(role IN ('goalkeeper', 'keeper', 'gk'), false) OR coalesce(semantic_group IN (3, 4), false) AS k FROM disp WHERE display % 7 <> 6) GROUP BY ALL HAVING count(*) FILTER (k) >= greatest(1, floor(count(*) * 0.5)))"
+KEEPERS = ", kp AS (SELECT video, display FROM (SELECT *, coalesce(role IN ('goalkeeper', 'keeper', 'gk'), false) OR coalesce(semantic_group IN (3, 4), false) AS k FROM disp WHERE team_confidence >= 0.05 OR jersey_number IS NOT NULL) GROUP BY ALL HAVING count(*) FILTER (k) >= greatest(1, floor(count(*) * 0.5)))"
 
 
 @query("SELECT video, display, jersey_number, kp.display IS NOT NULL AS dropped FROM wn LEFT JOIN kp USING (video, display)", TRACKS + RUNS + KEEPERS)

@@ -25,7 +25,7 @@ o AS (SELECT event_id AS frame, user_id AS track_id, nullif(CAST(json_extract_st
 s0 AS (SELECT *, lag(sec) OVER (PARTITION BY track_id ORDER BY sec, frame) AS before FROM o),
 s AS (SELECT *, CAST(sum(CASE WHEN before IS NULL OR sec - before > 43200 THEN 1 ELSE 0 END) OVER (PARTITION BY track_id ORDER BY sec, frame ROWS UNBOUNDED PRECEDING) AS INTEGER) AS session FROM s0),
 roster AS (SELECT s_name AS player_id, CAST(s_suppkey AS INTEGER) AS jersey_number, CAST(n_regionkey % 2 + 1 AS INTEGER) AS team_id, s_acctbal AS prior
-           FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey BETWEEN 1 AND 99)
+           FROM supplier JOIN nation ON s_nationkey = n_nationkey)
 """
 
 
@@ -49,7 +49,7 @@ def session_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def roster(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, n = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "nation")
-    return s.join(n, s["s_nationkey"] == n["n_nationkey"]).where("s_suppkey between 1 and 99").select(F.col("s_name").alias("player_id"), F.col("s_suppkey").cast("int").alias("jersey_number"), (F.col("n_regionkey") % 2 + 1).cast("int").alias("team_id"), F.col("s_acctbal").alias("prior"))
+    return s.join(n, s["s_nationkey"] == n["n_nationkey"]).select(F.col("s_name").alias("player_id"), F.col("s_suppkey").cast("int").alias("jersey_number"), (F.col("n_regionkey") % 2 + 1).cast("int").alias("team_id"), F.col("s_acctbal").alias("prior"))
 
 
 @query("SELECT role, count(*) AS n_rows, count(DISTINCT track_id) AS tracks, count(jersey_number) AS numbered, count(*) FILTER (confidence >= 0.5) AS confident, count(DISTINCT jersey_number) AS numbers FROM o GROUP BY role")
@@ -333,8 +333,8 @@ def identity_candidates(spark, sf_dir):
 
 @query(None)
 def optimal_assignment(spark, sf_dir):
-    costs = track_costs(spark, sf_dir).withColumn("video", F.col("track_id") % 16)
-    # one recording to a group, as everywhere: its tracklets against the roster
+    costs = track_costs(spark, sf_dir).withColumn("video", F.floor(F.col("track_id") / 10))
+    # a recording is ten users: its tracklets against the roster
     return J.assign_one_to_one(costs, "video", row="track_id", column="player_id", cost="cost", most=0.5)
 
 
@@ -386,13 +386,13 @@ def kalman_positions(spark, sf_dir):
 @query(None)
 def object_selection(spark, sf_dir):
     o = observations(spark, sf_dir).withColumn("at", F.floor(F.col("frame") / 5))
-    boxes = o.select((F.col("track_id") % 16).alias("video"), "at", F.col("frame").alias("candidate"), "confidence", F.col("x").alias("x1"), F.col("y").alias("y1"), (F.col("x") + 8).alias("x2"), (F.col("y") + 8).alias("y2"))
+    boxes = o.select(F.floor(F.col("track_id") / 10).alias("video"), "at", F.col("frame").alias("candidate"), "confidence", F.col("x").alias("x1"), F.col("y").alias("y1"), (F.col("x") + 8).alias("x2"), (F.col("y") + 8).alias("y2"))
     return SF.select_object(boxes, ["video"], "at", frame_area=1e6, max_area=0.001, size_penalty=0.2, acquire=0.1, reach=60, reach_cap=300, near=40, distance_penalty=0.3, after_miss=0.05, forget=12).withColumn("score", F.round("score", 6)).withColumn("moved", F.round("moved", 6))
 
 
 def session_spans(spark, sf_dir) -> DataFrame:
     ends = [f(F.col(c), F.col("frame")).alias(f"{n}_{c}") for n, f in (("first", F.min_by), ("last", F.max_by)) for c in "xy"]
-    return session_rows(spark, sf_dir).groupBy((F.col("track_id") % 16).alias("video"), "track_id", "session").agg(
+    return session_rows(spark, sf_dir).groupBy(F.floor(F.col("track_id") / 10).alias("video"), "track_id", "session").agg(
         F.min("frame").alias("id"), F.min("frame").alias("start"), F.max("frame").alias("end"), *ends, F.first("team_id").alias("team"), F.avg("confidence").alias("team_confidence")
     ).withColumn("look", F.array(F.col("first_x"), F.col("last_x")))
 
@@ -401,12 +401,14 @@ def session_spans(spark, sf_dir) -> DataFrame:
 def span_links(spark, sf_dir):
     spans = session_spans(spark, sf_dir)
     found = SF.link_candidates(spans, "video", max_gap=400, max_distance=120, same_team=SF.teams_agree(), min_cosine=0.72)
-    return SF.link_spans(spans, found, "video", max_gap=400)
+    seen = session_rows(spark, sf_dir).withColumn("video", F.floor(F.col("track_id") / 10))
+    frames = SF.frame_ranges(seen, ["video", "track_id", "session"], "frame")
+    return SF.link_spans(spans.join(frames, ["video", "track_id", "session"]), found, "video", max_gap=400)
 
 
 @query("""SELECT a.video, a.id AS source, b.id AS target, b.start - a.end AS gap, round(sqrt((b.first_x - a.last_x) ** 2 + (b.first_y - a.last_y) ** 2), 6) AS distance FROM t a JOIN t b ON a.video = b.video AND b.start - a.end BETWEEN 1 AND 400
 WHERE sqrt((b.first_x - a.last_x) ** 2 + (b.first_y - a.last_y) ** 2) <= 120 AND NOT (a.team <> b.team AND a.conf >= 0.65 AND b.conf >= 0.65)""", OBS + """,
-t AS (SELECT track_id % 16 AS video, min(frame) AS id, min(frame) AS start, max(frame) AS end, min(team_id) AS team, avg(confidence) AS conf, arg_min(x, frame) AS first_x, arg_max(x, frame) AS last_x, arg_min(y, frame) AS first_y, arg_max(y, frame) AS last_y FROM s GROUP BY track_id, session)""")
+t AS (SELECT CAST(floor(track_id / 10) AS BIGINT) AS video, min(frame) AS id, min(frame) AS start, max(frame) AS end, min(team_id) AS team, avg(confidence) AS conf, arg_min(x, frame) AS first_x, arg_max(x, frame) AS last_x, arg_min(y, frame) AS first_y, arg_max(y, frame) AS last_y FROM s GROUP BY track_id, session)""")
 def span_link_candidates(spark, sf_dir):
     spans = session_spans(spark, sf_dir).withColumn("look", F.lit(None).cast("array<double>"))
     found = SF.link_candidates(spans, "video", max_gap=400, max_distance=120, same_team=SF.teams_agree(), min_cosine=0.72)

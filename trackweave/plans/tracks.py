@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from trackweave.plans.registry import table
 
-#: Columns of an observation from events with k, the number in props; a frame is an hour.
+#: Columns of an observation from events with k, the number in props; a frame is an hour, a video's players are forty users: videos grow in number with the users.
 COLUMNS = {
-    "video": "user_id % 4",
+    "video": "CAST(floor(user_id / 40) AS BIGINT)",
     "frame": "CAST(floor(sec / 3600) AS BIGINT) - 473352",
     "raw_track_id": "event_id",
     "display_track_id": "user_id",
