@@ -457,6 +457,39 @@ def test_decontamination_of_partial_copies(spark):
     assert sorted(r["doc_id"] for r in decontaminate.drop_contaminated(docs, bench).collect()) == list(range(5301, 5601))
 
 
+def test_decontamination_of_edited_copies(spark):
+    rng = np.random.default_rng(5)
+    item = [[f"i{i}w{k}" for k in range(int(m))] for i, m in enumerate(rng.integers(10, 60, 40))]
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(item)], "item_id long, text string")
+    other = lambda n: [f"o{x}" for x in rng.integers(0, 5000, n)]
+    texts = []
+    for every in (3, 4, 5):  # words replaced at a steady distance
+        texts += [[w if k % every else other(1)[0] for k, w in enumerate(words, 1)] for words in item]
+    for share in (0.1, 0.2, 0.3, 0.4):  # words replaced, left out or put in anywhere
+        for words in item:
+            copy = []
+            for w in words:
+                edit = rng.integers(0, 3) if rng.random() < share else 3
+                copy += [other(1), [], [w, *other(1)], [w]][edit]
+            texts.append(copy)
+    texts = [[*other(30), *t, *other(30)] for t in texts] + [other(200) for _ in range(50)]
+    docs = spark.createDataFrame([(d, " ".join(t)) for d, t in enumerate(texts)], "doc_id long, text string")
+    code = {w: k for k, w in enumerate({w for t in [*texts, *item] for w in t})}
+    number = lambda ws: np.array([code[w] for w in ws])
+    # every document aligned with every item, whatever they share
+    want = {}
+    for i, words in enumerate(item):
+        for d, score in enumerate(decontaminate.align([number(words)] * len(texts), [number(t) for t in texts]) / (2 * len(words))):
+            if score >= 0.4:
+                want[d, i] = score
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontaminate.contaminated(docs, bench).collect()}
+    assert len(want) > 200 and not got.keys() - want.keys() and len(got) >= 0.98 * len(want)
+    assert np.mean([got[p] == pytest.approx(want[p]) for p in got]) > 0.98
+    # with every third or fourth word replaced none is lost
+    steady = {p for p in want if p[0] < 120}
+    assert len(steady) >= 118 and steady <= got.keys()
+
+
 def test_alignment():
     def brute(q, t):
         h, best = np.zeros((len(q) + 1, len(t) + 1), int), 0

@@ -33,14 +33,13 @@ def plain(text):
 
 
 def brute_contaminated(docs, items):
-    """(doc, item) of all pairs with four words in a row in common and an alignment of 0.4 or more."""
-    grams = lambda ws: {tuple(ws[i : i + 4]) for i in range(len(ws) - 3)}
+    """(doc, item) of all pairs with an alignment of 0.4 or more; where fewer of an item's words stand in the text none can be."""
     listed = [(i, plain(t)) for i, t in items]
     out = set()
     for d, text in docs:
         words = plain(text)
-        mine = grams(words)
-        out |= {(d, i) for i, item in listed if grams(item) & mine and align_all(item, words) >= 0.4}
+        mine = set(words)
+        out |= {(d, i) for i, item in listed if item and sum(w in mine for w in item) >= 0.4 * len(item) and align_all(item, words) >= 0.4}
     return out
 
 
@@ -129,4 +128,6 @@ def test_decontamination_against_brute_force(spark):
     got = decontaminate.contaminated(spark.createDataFrame(texts, "doc_id long, text string"), bench).collect()
     want = brute_contaminated(texts, [(i, " ".join(w)) for i, w in enumerate(items)])
     found = {(r["doc_id"], r["item_id"]) for r in got}
-    assert want and found <= want and len(want - found) <= 0.02 * len(want)
+    assert want and found <= want and len(want - found) <= 0.1 * len(want)
+    # two words reach the threshold of an item of four or five, and hold no seed of three
+    assert all(len(items[i]) < 6 for _, i in want - found)

@@ -11,14 +11,15 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from trackweave.llm.common import WordTable, byte_groups, text_bytes, written
 from trackweave.llm.pieces import kept
 
 STRIP = string.punctuation
-#: Bits of the seed filter that is sent to every worker: 4 MB, whatever the benchmark's size.
-FILTER_BITS = 25
+#: Places of a seed's words: three in a row, and two, any word, one more, which also hold where every third or fourth word differs.
+SHAPES = ((0, 1, 2), (0, 1, 3))
+#: The seed filter that is sent to every worker has 2^BITS[0] bits, or more up to 2^BITS[1] (32 MB), 32 or more for each seed.
+BITS = (20, 28)
 
 
 def _hashes(words: list[bytes]) -> np.ndarray:
@@ -35,25 +36,32 @@ def text_hashes(texts: list[bytes]) -> list[np.ndarray]:
     return [part[part != 0] for part in np.split(flat, np.cumsum([len(ws) for ws in cut])[:-1])]
 
 
-def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
-    if len(words) < n:
-        return np.zeros(0, np.uint64)
-    out = np.zeros(len(words) - n + 1, np.uint64)
-    for k in range(n):
-        out = (out ^ (out >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93) + words[k : k + len(out)]
-    return out
+def gram_hashes(words: np.ndarray, shape: tuple[int, ...]) -> np.ndarray:
+    """A hash of the words at these places after each word; as many as there are places for the last of them."""
+    n = max(len(words) - shape[-1], 0)
+    out = np.full(n, shape[-1], np.uint64)
+    for k in shape:
+        out = (out ^ (out >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93) + words[k : k + n]
+    return out ^ (out >> np.uint64(29))
+
+
+def all_grams(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Grams of all shapes, and where each begins."""
+    grams = [gram_hashes(words, shape) for shape in SHAPES]
+    return np.concatenate(grams), np.concatenate([np.arange(len(g), dtype=np.int32) for g in grams])
 
 
-def item_seeds(items: DataFrame, n: int) -> DataFrame:
-    """Per item: item_id, words (hashes, 32 bits), grams (array of gram and place)."""
-    schema = StructType([StructField("item_id", LongType()), StructField("words", ArrayType(IntegerType())), StructField("grams", ArrayType(LongType()))])
+def item_seeds(items: DataFrame) -> DataFrame:
+    """Per item: item_id, item (hash of its words), words (hashes, 32 bits), grams and places (arrays side by side)."""
+    schema = "item_id long, words array<int>, grams array<long>, places array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hashes = text_hashes(text_bytes(batch.column(1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_short(h) for h in hashes], pa.list_(pa.int32())), pa.array([gram_hashes(h, n).view(np.int64) for h in hashes], pa.list_(pa.int64()))], ["item_id", "words", "grams"])
+            grams = [all_grams(h) for h in hashes]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_short(h) for h in hashes], pa.list_(pa.int32())), pa.array([g.view(np.int64) for g, _ in grams], pa.list_(pa.int64())), pa.array([p for _, p in grams], pa.list_(pa.int32()))], ["item_id", "words", "grams", "places"])
 
-    return items.select(F.col("item_id").cast("long"), "text").mapInArrow(run, schema)
+    return items.select(F.col("item_id").cast("long"), "text").mapInArrow(run, schema).withColumn("item", F.xxhash64("words"))
 
 
 def _short(hashes: np.ndarray) -> np.ndarray:
@@ -61,32 +69,34 @@ def _short(hashes: np.ndarray) -> np.ndarray:
 
 
 def _filter(grams: DataFrame) -> np.ndarray:
-    """One bit for each hash of the seeds; made of the bits that are set, of which there are never more than 2^FILTER_BITS."""
-    bit = F.shiftrightunsigned("gram", 64 - FILTER_BITS)
+    """One bit for each hash of the seeds, sized by their number within BITS; made of the bits that are set, of which there are never more."""
+    bits = min(max(BITS[0], grams.count().bit_length() + 5), BITS[1])
+    bit = F.shiftrightunsigned("gram", 64 - bits)
     word = grams.select(F.shiftright(bit, 5).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(31)).cast("int")).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
-    out = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
+    out = np.zeros(1 << (bits - 5), np.uint32)
     got = word.toPandas()
     out[got["w"].to_numpy(np.int64)] = got["b"].to_numpy(np.int64).astype(np.uint32)
     return out
 
 
 def _passing(grams: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    bit = grams >> np.uint64(64 - FILTER_BITS)
+    bit = grams >> np.uint64(64 - 5 - (len(bits).bit_length() - 1))
     return np.flatnonzero(bits[(bit >> np.uint64(5)).astype(np.int64)] >> (bit & np.uint64(31)).astype(np.uint32) & np.uint32(1))
 
 
 def placed_seeds(items: DataFrame) -> DataFrame:
-    """(gram, item_id, m, first, last): every n-gram of an item of m words, once, with the first and last place it stands at.
+    """(gram, item_id, item, m, first, last): every gram of an item of m words, once, with the first and last place it stands at.
 
-    None is left out for being frequent: a passage that very many documents
-    hold may be all that some of them share with the item.
+    None is left out for being frequent: what very many documents hold may be
+    all that some of them share with the item, as where a thousand documents
+    hold one edited copy and one holds the rest.
     """
-    placed = items.select("item_id", F.size("words").alias("m"), F.posexplode("grams").alias("place", "gram"))
-    return placed.groupBy("gram", "item_id", "m").agg(F.min("place").alias("first"), F.max("place").alias("last"))
+    placed = items.select("item_id", "item", F.size("words").alias("m"), F.explode(F.arrays_zip("grams", "places")).alias("g"))
+    return placed.groupBy(F.col("g.grams").alias("gram"), "item_id", "item", "m").agg(F.min("g.places").alias("first"), F.max("g.places").alias("last"))
 
 
-def seed_hits(docs: DataFrame, seeds: DataFrame, n: int) -> DataFrame:
-    """Per text with a seed: doc_id, row (hash of the text, seeded by doc_id), words, hits (gram, pos)."""
+def seed_hits(docs: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Per text with a seed: doc_id, row (hash of the text, seeded by doc_id), words, grams and places of the hits."""
     bits = docs.sparkSession.sparkContext.broadcast(_filter(seeds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,10 +105,10 @@ def seed_hits(docs: DataFrame, seeds: DataFrame, n: int) -> DataFrame:
             for a, b in byte_groups([len(t) for t in texts], 2 << 20):
                 rows = []
                 for i, words in enumerate(text_hashes(texts[a:b]), a):
-                    grams = gram_hashes(words, n)
+                    grams, places = all_grams(words)
                     at = _passing(grams, bits.value)
                     if len(at):
-                        rows.append((doc_ids[i], np.uint64(xxhash.xxh64_intdigest(texts[i], (doc_ids[i] or 0) & (1 << 64) - 1)).astype(np.int64), _short(words), grams[at].view(np.int64), at.astype(np.int32)))
+                        rows.append((doc_ids[i], np.uint64(xxhash.xxh64_intdigest(texts[i], (doc_ids[i] or 0) & (1 << 64) - 1)).astype(np.int64), _short(words), grams[at].view(np.int64), places[at]))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32())))], ["doc_id", "row", "words", "grams", "places"])
 
@@ -128,40 +138,48 @@ def align(queries: list[np.ndarray], windows: list[np.ndarray], match: int = 2,
     return out
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, *, n: int = 4, threshold: float = 0.4) -> DataFrame:
+def shared_words(query: np.ndarray, window: np.ndarray) -> int:
+    """How many words of the query stand in the window at all: no alignment matches more."""
+    return int(np.isin(query, window).sum())
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, *, threshold: float = 0.4) -> DataFrame:
     """Pairs of documents and benchmark items that they hold: doc_id, item_id, score, start, n_item_words.
 
     A pair's score is the best local alignment between the item's words and
-    the passages of the document around the n-grams that both hold (match 2,
+    the passages of the document around the seeds that both hold (match 2,
     other word or gap -1), as a share of a full match; pairs at threshold or
     more are returned, one row each. start is the first word of the best passage.
-    Every n-gram of an item is a seed, however many documents hold it; a
-    passage that shares no n words in a row with the item isn't aligned.
+    Every gram of an item in one of SHAPES is a seed, however many documents
+    hold it; a passage that shares none with the item isn't aligned, nor is
+    one that has too few of its words for the threshold.
 
     Words are compared lower-cased without outer punctuation. The filter that
-    goes to workers has a fixed size; what passes it is joined to the seeds
-    exactly. Items under n words, and null texts, have no seeds and give no
+    goes to workers is at most 32 MB; what passes it is joined to the seeds
+    exactly. Items under three words, and null texts, have no seeds and give no
     row; documents without an id, and null or repeated ids of items, are
     reported as they are; repeated rows give one row; empty tables give an
     empty result; further columns are ignored.
     """
-    items = written(item_seeds(benchmark, n), "items")
+    items = written(item_seeds(benchmark), "items")
     seeds = written(placed_seeds(items), "seeds")
-    found = written(seed_hits(docs, seeds.select("gram").distinct(), n), "hits")
+    found = written(seed_hits(docs, seeds.select("gram").distinct()), "hits")
     pairs = found.select("doc_id", "row", F.explode(F.arrays_zip("grams", "places")).alias("x")).select("doc_id", "row", F.col("x.grams").alias("gram"), F.col("x.places").alias("pos"))
-    sizes = items.select("item_id", F.col("words").alias("query"), F.size("words").alias("m")).where(F.col("m") >= n).distinct()
     hits = pairs.join(seeds, "gram")
     begin = F.col("pos") - F.col("last")
-    spans = hits.groupBy("doc_id", "row", "item_id", "m", F.floor(begin / F.col("m")).alias("near")).agg(F.min(begin).alias("low"), F.max(F.col("pos") - F.col("first")).alias("high"))
+    spans = hits.groupBy("doc_id", "row", "item_id", "item", "m", F.floor(begin / F.col("m")).alias("near")).agg(F.min(begin).alias("low"), F.max(F.col("pos") - F.col("first")).alias("high"))
     slack = F.ceil(F.col("m") / 4).cast("int") + 2
     spans = spans.withColumn("start", F.greatest(F.lit(0), F.col("low") - slack).cast("int")).withColumn("stop", (F.col("high") + F.col("m") + slack).cast("int"))
     # rows that repeat have the same words: one of them is enough; the key is that of the join, so words are shuffled once
     texts = found.select(F.col("row").alias("r"), "words").dropDuplicates(["r"])
-    passages = spans.join(texts, F.col("row") == F.col("r")).select("doc_id", "item_id", "m", "start", F.slice("words", F.col("start") + 1, F.col("stop") - F.col("start")).alias("window"))
-    joined = passages.join(sizes.select(F.col("item_id").alias("i"), "query", F.col("m").alias("m2")), F.col("item_id").eqNullSafe(F.col("i")) & (F.col("m") == F.col("m2")))
+    passages = spans.join(texts, F.col("row") == F.col("r")).select("doc_id", "item_id", "item", "m", "start", F.slice("words", F.col("start") + 1, F.col("stop") - F.col("start")).alias("window"))
+    queries = items.select(F.col("item").alias("i"), F.col("words").alias("query")).dropDuplicates(["i"])
+    joined = passages.join(queries, F.col("item") == F.col("i"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for got in batches:
+            enough = [shared_words(q, w) / len(q) >= threshold for q, w in zip(got["query"], got["window"])]
+            got = got[enough]
             score = align(list(got["query"]), list(got["window"])) / (2.0 * got["m"])
             yield pd.DataFrame({"doc_id": got["doc_id"], "item_id": got["item_id"], "score": score, "start": got["start"], "n_item_words": got["m"]})[score >= threshold]
 
