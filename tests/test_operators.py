@@ -115,3 +115,34 @@ def test_stream_equals_table(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(map(tuple, spark.table("tumbling").collect())) == sorted(map(tuple, ST.tumbling_counts(events, "ts", "1 hour", ["k"]).collect()))
+
+
+def test_boxes_meet_by_place_and_size(spark):
+    rng = np.random.default_rng(3)
+
+    def some(n, at):
+        size = 2.0 ** rng.integers(-3, 9, (n, 2)) * rng.choice([1.0, 1.3], (n, 2))  # exact powers are the edges of levels
+        corner = np.where(rng.random((n, 2)) < 0.5, rng.integers(-40, 40, (n, 2)) * 4.0, rng.uniform(-2000, 2000, (n, 2)))
+        return [(at + i, int(i % 2), (float(x), float(y), float(x + w), float(y + h))) for i, ((x, y), (w, h)) in enumerate(zip(corner, size))]
+
+    first, second = some(700, 0), some(700, 10_000)
+    second += [(20_000 + i, f, b) for i, f, b in first[:50]]  # equal boxes
+    odd = [(i, 0, b) for i, b in ((-1, None), (-2, (1.0, 1.0, 1.0, 5.0)), (-3, (5.0, 5.0, 1.0, 1.0)), (-4, (0.0, 0.0, float("inf"), 4.0)))]
+    box = "struct<x1: double, y1: double, x2: double, y2: double>"
+    p = spark.createDataFrame(first + odd, f"prediction_id long, frame int, p_box {box}")
+    t = spark.createDataFrame(second + odd, f"truth_id long, frame int, t_box {box}")
+
+    def share(a, b):
+        w, h = max(0, min(a[2], b[2]) - max(a[0], b[0])), max(0, min(a[3], b[3]) - max(a[1], b[1]))
+        return w * h / ((a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - w * h)
+
+    near = J.near_boxes(p, t, ["frame"], "p_box", "t_box", least=0.05).select("prediction_id", "truth_id").collect()
+    assert len(near) == len(set(near)) < 700 * 750 / 2 / 5  # each pair once, and far fewer than all of a frame
+    for least in (0.05, 0.25, 1.0):
+        want = {}
+        for i, f, a in first:
+            over = [(share(a, b), -j) for j, g, b in second if f == g and share(a, b) >= least]
+            if over:
+                want[i] = (-max(over)[1], pytest.approx(max(over)[0]))
+        got = {r["prediction_id"]: (r["truth_id"], r["iou"]) for r in J.best_overlap(p, t, ["frame"], least=least).collect()}
+        assert got == want and len(got) >= 50

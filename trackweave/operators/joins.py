@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from trackweave.functions.scalars import iou
+
 
 def first_covering(rows: DataFrame, segments: DataFrame, key: str, frame: str, *, width: int) -> DataFrame:
     """Left join of each row with the first segment (by start, end) of its key that covers its frame.
@@ -46,9 +50,37 @@ def roster_lookup(rows: DataFrame, roster: DataFrame, *, team: str = "team_id",
     return rows.join(r, (F.col(number) == F.col("n_")) & (F.col(team).isNull() | (F.col(team) == F.col("t_"))), "left").drop("t_", "n_")
 
 
-def best_overlap(predictions: DataFrame, truth: DataFrame, frame: list[str], *, overlap: Column, least: float) -> DataFrame:
+def _cells(rows: DataFrame, box: str, side: str, above: int) -> DataFrame:
+    """rows at each cell that its box touches, in the grid of its own size (level_) and the next coarser ones; at most four cells of each."""
+    b = F.col(box)
+    longest = F.greatest(b["x2"] - b["x1"], b["y2"] - b["y1"])
+    sized = rows.where((b["x2"] > b["x1"]) & (b["y2"] > b["y1"]) & (longest < float("inf"))).withColumn(f"{side}_level_", F.ceil(F.log2(longest) / 2))
+    at = sized.withColumn("level_", F.explode(F.sequence(F.col(f"{side}_level_"), F.col(f"{side}_level_") + above))).withColumn("size_", F.pow(F.lit(4.0), F.col("level_")))
+    for c in ("x", "y"):
+        at = at.withColumn(f"c{c}_", F.explode(F.sequence(F.floor(b[f"{c}1"] / F.col("size_")), F.floor(b[f"{c}2"] / F.col("size_")))))
+    return at if side == "a" else at.drop("size_")
+
+
+def near_boxes(a: DataFrame, b: DataFrame, keys: list[str], a_box: str, b_box: str, *, least: float) -> DataFrame:
+    """Pairs of equal keys whose boxes touch and are of a size by which their overlap could be least (over 0) or more; each pair once.
+
+    Grids have cells of 4^level, and a box's own level is that of its longer
+    side. Boxes that overlap by least differ by a known number of levels, so
+    both stand in the grid of the larger one's level; the pair belongs to the
+    cell that holds the corner where their intersection begins. The join is on
+    equal keys and cells: a crowded frame is divided by place, and no box is
+    too large. Null, empty and endless boxes touch nothing.
+    """
+    above = math.ceil(math.log(1 / least, 4) + 1e-9)
+    both = _cells(a, a_box, "a", above).join(_cells(b, b_box, "b", above), [*keys, "level_", "cx_", "cy_"])
+    owner = [F.floor(F.greatest(F.col(a_box)[f"{c}1"], F.col(b_box)[f"{c}1"]) / F.col("size_")) == F.col(f"c{c}_") for c in ("x", "y")]
+    mine = (F.col("level_") == F.greatest("a_level_", "b_level_")) & owner[0] & owner[1]
+    return both.where(mine).drop("level_", "a_level_", "b_level_", "size_", "cx_", "cy_")
+
+
+def best_overlap(predictions: DataFrame, truth: DataFrame, frame: list[str], *, boxes: tuple[str, str] = ("p_box", "t_box"), least: float) -> DataFrame:
     """Each prediction's truth of the same frame with the largest overlap of at least least; the smallest truth_id of equal ones."""
-    pairs = predictions.join(truth, frame).withColumn("iou", overlap).where(F.col("iou") >= least)
+    pairs = near_boxes(predictions, truth, frame, *boxes, least=least).withColumn("iou", iou(F.col(boxes[0]), F.col(boxes[1]))).where(F.col("iou") >= least)
     return pairs.groupBy(*frame, "prediction_id").agg(F.max_by(F.struct("truth_id", "iou"), F.struct("iou", -F.col("truth_id"))).alias("m")).select(*frame, "prediction_id", "m.truth_id", "m.iou")
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from trackweave.functions.scalars import iou
 from trackweave.operators import evaluation as E
 from trackweave.operators import joins as J
 from trackweave.operators import scenes as S
@@ -30,7 +29,7 @@ def matches(spark, sf_dir):
     every = boxes(spark, sf_dir)
     pred = every.where("pred").select("video", "frame", F.col("raw_track_id").alias("prediction_id"), F.col("box").alias("p_box"), "team", "jersey_number", F.col("player_id").alias("candidate_player_id"))
     truth = every.where("not pred").select("video", "frame", F.col("raw_track_id").alias("truth_id"), F.col("box").alias("t_box"), F.when(F.col("team") == 1, "Right").when(F.col("team") == 2, "left").alias("truth_team"), F.col("jersey_number").alias("truth_number"))
-    found = J.best_overlap(pred.select("video", "frame", "prediction_id", "p_box"), truth.select("video", "frame", "truth_id", "t_box"), ["video", "frame"], overlap=iou(F.col("p_box"), F.col("t_box")), least=0.2)
+    found = J.best_overlap(pred.select("video", "frame", "prediction_id", "p_box"), truth.select("video", "frame", "truth_id", "t_box"), ["video", "frame"], least=0.2)
     return pred.drop("p_box").join(found, ["video", "frame", "prediction_id"]).join(truth.drop("t_box"), ["video", "frame", "truth_id"])
 
 
