@@ -186,3 +186,13 @@ def test_votes_and_rare_rules(spark):
     empty = spark.createDataFrame([], "k int, team int, truth_team string")
     assert E.team_mapping(empty, ["k"]).count() == 0
     assert Counter(r["part"] for r in E.split_at_median(spark.createDataFrame([(1, f) for f in (1, 1, 2, 9)], "k int, frame int"), ["k"], "frame").collect()) == {"train": 2, "eval": 2}
+
+
+def test_pairs_of_own_rosters(spark):
+    seen = spark.createDataFrame([(0, 1), (0, 2), (1, 1), (2, 1), (None, 9)], "video long, track_id long")
+    people = [(0, "a", 1, "gk"), (0, "b", 1, "GK"), (1, "c", 1, "goalkeeper"), (1, "d", None, "gk"), (7, "e", 1, "player"), (None, "f", 1, "gk")]
+    roster = spark.createDataFrame([(v, p, t, None, r, None, None) for v, p, t, r in people], "video long, player_id string, team int, jersey_number int, role string, prior_x double, prior_y double")
+    got = sorted((r["video"], r["track_id"], r["player_id"], r["team_keepers"]) for r in AS.pairs(seen, roster).collect())
+    # keepers are counted in each roster; rosters and tracklets without a video, or of another, meet none
+    assert got == [(0, 1, "a", 2), (0, 1, "b", 2), (0, 2, "a", 2), (0, 2, "b", 2), (1, 1, "c", 1), (1, 1, "d", 0)]
+    assert AS.pairs(seen, roster.drop("video")).count() == 30
