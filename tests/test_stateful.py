@@ -117,5 +117,6 @@ def test_mean_and_nearest_vectors(spark):
     assert {r["k"]: r["vector"] for r in means.collect()} == {"a": [1.0, 0.0], "b": [0.0, 1.0]}
     got = {r["id"]: (r["k"], round(r["similarity"], 6), round(r["margin"], 6)) for r in V.nearest_vector(df, "id", "v", means, "k").collect()}
     assert got[1] == ("a", 1.0, 1.0) and got[3][0] == "b" and got[5] == ("b", 0.0, 1.0) and 6 not in got and got[7][0] == "a"
-    with pytest.raises(ValueError):
-        V.nearest_vector(df, "id", "v", means, "k", most_keys=1)
+    one = V.nearest_vector(df, "id", "v", means.where("k = 'b'"), "k").collect()
+    assert len(one) == 6 and all(r["margin"] == r["similarity"] for r in one)
+    assert V.nearest_vector(df, "id", "v", means.where("false"), "k").count() == 0

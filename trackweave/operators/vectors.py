@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackweave.functions.scalars import cosine
 from trackweave.operators.aggregates import mean_embedding
+from trackweave.operators.nearest import nearest
 
 
 def mean_vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
@@ -15,17 +15,15 @@ def mean_vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
     return parts.agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda s: s["value"]).alias("vector"))
 
 
-def nearest_vector(df: DataFrame, id: str, vector: str, means: DataFrame, key: str, *, most_keys: int = 10_000) -> DataFrame:
+def nearest_vector(df: DataFrame, id: str, vector: str, means: DataFrame, key: str) -> DataFrame:
     """id, key, similarity, margin: the mean most like each vector by cosine, and its lead over the next (over 0 with one mean).
 
-    The means are one array that goes to all tasks; more than most_keys of them
-    are an error, as they'd be a table to search by an index. Rows are scored
-    where they are, without a shuffle; equal similarities go to the smaller key.
+    means: key, vector; any number of them. Equal similarities go to the smaller
+    key, so zero vectors, as like to every mean as to the next, go to the
+    smallest with 0 and 0; see nearest for vectors that aren't compared.
     """
-    if means.limit(most_keys + 1).count() > most_keys:
-        raise ValueError(f"over {most_keys} keys")
-    all_ = means.agg(F.collect_list(F.struct(F.col(key).alias("key"), F.col("vector"))).alias("means_"))
-    scored = F.array_sort(F.transform("means_", lambda m: F.struct(F.coalesce(-cosine(F.col(vector), m["vector"]), F.lit(2.0)).alias("away"), m["key"].alias("key"))))
-    out = df.where(F.col(vector).isNotNull()).select(id, vector).join(F.broadcast(all_)).withColumn("best_", F.slice(scored, 1, 2)).where(F.size("best_") > 0)
-    second = F.coalesce(F.get("best_", F.lit(1))["away"], F.lit(0.0))
-    return out.select(id, F.col("best_")[0]["key"].alias(key), (-F.col("best_")[0]["away"]).alias("similarity"), (second - F.col("best_")[0]["away"]).alias("margin"))
+    near = nearest(df.select(id, F.col(vector).alias("vector")), means, id=id, vector="vector", train_id=key, k=2)
+    best = near.groupBy(id).agg(*[F.max(F.when(F.col("place") == p, F.struct("near", "similarity"))).alias(f"p{p}") for p in (1, 2)])
+    zero = df.where((F.size(vector) > 0) & F.forall(vector, lambda x: F.coalesce(x == 0, F.lit(False)))).select(id).join(F.broadcast(means.agg(F.min(key).alias(key))).where(F.col(key).isNotNull()))
+    found = best.select(id, F.col("p1.near").alias(key), "p1.similarity", (F.col("p1.similarity") - F.coalesce("p2.similarity", F.lit(0.0))).alias("margin"))
+    return found.unionByName(zero.select(id, key, F.lit(0.0).alias("similarity"), F.lit(0.0).alias("margin")))
