@@ -13,7 +13,7 @@ from trackweave.operators import stateful as SF
 from trackweave.operators import vectors as V
 from trackweave.operators import windows as W
 from trackweave.plans import registry
-from trackweave.plans import assignment, constraints, evaluation, exporting, fields, linking, merging, propagation, readings, tracking  # noqa: F401, I001  (they register their queries)
+from trackweave.plans import assignment, colours, constraints, evaluation, exporting, fields, linking, merging, propagation, readings, tracking  # noqa: F401, I001  (they register their queries)
 from trackweave.plans.registry import ORACLE_SQL, QUERIES, table  # noqa: F401
 from trackweave.streaming import windows as ST
 
