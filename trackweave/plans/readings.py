@@ -207,3 +207,16 @@ def segment_or_display_numbers(spark, sf_dir):
 def ranked_candidates(spark, sf_dir):
     own = F.when(F.col("jersey_number").isNotNull(), F.array(F.struct("jersey_number", F.col("jersey_confidence").alias("confidence"), F.col("jersey_votes").alias("votes"))))
     return R.ranked_candidates(tracks(spark, sf_dir).withColumn("own", own), ["raw_track_id"], ["own", "candidates"])
+
+
+@query(r"""SELECT display, number AS jersey_number, votes, round(1e-9 + votes * share, 6) AS score FROM (SELECT user_id AS display, number, count(*) AS votes, max(share) AS share FROM (
+  SELECT user_id, CAST(substr(run, 1, 2) AS INTEGER) AS number, length(run) / length(props) AS share FROM (SELECT *, regexp_extract(props, '[0-9]+') AS run FROM events) WHERE run <> '') WHERE number BETWEEN 1 AND 99 GROUP BY ALL)
+  QUALIFY row_number() OVER (PARTITION BY display ORDER BY votes * share DESC, votes DESC, number) = 1""")
+def read_numbers(spark, sf_dir):
+    """From pictures (here texts) to a number for each user: read by all wanted readers, of which one doesn't load, joined by crop, voted."""
+    from trackweave.functions.scalars import parse_number
+    from trackweave.operators import readers
+
+    crops = table(spark, sf_dir, "events").select(F.col("user_id").alias("display"), F.col("event_id").alias("crop"), F.col("props").alias("picture"))
+    seen = readers.read_crops(crops, "picture", {"digits": readers.digit_runs}, "absent,digits").withColumns({"number": parse_number(F.col("text")), "vote_weight": F.lit(1.0), "variant": F.lit(None).cast("string")})
+    return R.vote(R.by_crop(seen), ["display"]).select("display", "jersey_number", "votes", rounded("score", 6).alias("score"))
