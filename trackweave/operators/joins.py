@@ -79,9 +79,17 @@ def near_boxes(a: DataFrame, b: DataFrame, keys: list[str], a_box: str, b_box: s
 
 
 def best_overlap(predictions: DataFrame, truth: DataFrame, frame: list[str], *, boxes: tuple[str, str] = ("p_box", "t_box"), least: float) -> DataFrame:
-    """Each prediction's truth of the same frame with the largest overlap of at least least; the smallest truth_id of equal ones."""
-    pairs = near_boxes(predictions, truth, frame, *boxes, least=least).withColumn("iou", iou(F.col(boxes[0]), F.col(boxes[1]))).where(F.col("iou") >= least)
-    return pairs.groupBy(*frame, "prediction_id").agg(F.max_by(F.struct("truth_id", "iou"), F.struct("iou", -F.col("truth_id"))).alias("m")).select(*frame, "prediction_id", "m.truth_id", "m.iou")
+    """Each prediction's truth of the same frame with the largest overlap of at least least; the smallest truth_id of equal ones.
+
+    Equal boxes of a frame overlap alike, so only distinct ones meet: a truth
+    box stands for its smallest id, and all predictions of a box take its match.
+    """
+    mine, other = boxes
+    distinct, owned = predictions.select(*frame, mine).distinct(), truth.groupBy(*frame, other).agg(F.min("truth_id").alias("truth_id"))
+    pairs = near_boxes(distinct, owned, frame, *boxes, least=least).withColumn("iou", iou(F.col(mine), F.col(other))).where(F.col("iou") >= least)
+    best = F.max_by(F.struct("truth_id", "iou"), F.struct("iou", -F.col("truth_id"))).alias("m")
+    matched = predictions.join(pairs.groupBy(*frame, mine).agg(best).select(*frame, mine, "m.*"), [*frame, mine])
+    return matched.groupBy(*frame, "prediction_id").agg(best).select(*frame, "prediction_id", "m.truth_id", "m.iou")
 
 
 def prefer(primary: DataFrame, fallback: DataFrame, keys: list[str], value: str) -> DataFrame:

@@ -9,9 +9,9 @@ from trackweave.operators import joins as J
 from trackweave.operators import scenes as S
 from trackweave.operators import vectors as V
 from trackweave.plans.registry import query, rounded, table
-from trackweave.plans.tracks import TRACKS, tracks
+from trackweave.plans.tracks import COLUMNS, CROWDED, CROWDED_TRACKS, TRACKS, tracks
 
-#: Predicted boxes are those of clicks and views, true ones those of the other events, near each other in a frame of 4 videos.
+#: Predicted boxes are those of clicks and views, true ones those of the other events, near each other in a frame.
 BOXES = """,
 bx AS (SELECT *, (raw_track_id * 7 % 30) AS px, (raw_track_id * 11 % 30) AS py, coalesce(role, 'player') IN ('player') AS pred FROM r),
 pairs AS (SELECT p.video, p.frame, p.raw_track_id AS prediction_id, t.raw_track_id AS truth_id, p.team, p.jersey_number, p.player_id AS candidate_player_id, CASE t.team WHEN 1 THEN 'Right' WHEN 2 THEN 'left' END AS truth_team, t.jersey_number AS truth_number,
@@ -19,23 +19,23 @@ pairs AS (SELECT p.video, p.frame, p.raw_track_id AS prediction_id, t.raw_track_
 matched AS (SELECT *, common / (800.0 - common) AS iou FROM pairs WHERE common / (800.0 - common) >= 0.2 QUALIFY row_number() OVER (PARTITION BY video, frame, prediction_id ORDER BY common DESC, truth_id) = 1)"""
 
 
-def boxes(spark, sf_dir):
+def boxes(spark, sf_dir, columns=COLUMNS):
     x, y = F.col("raw_track_id") * 7 % 30, F.col("raw_track_id") * 11 % 30
     box = F.struct(x.cast("double").alias("x1"), y.cast("double").alias("y1"), (x + 20).cast("double").alias("x2"), (y + 20).cast("double").alias("y2"))
-    return tracks(spark, sf_dir).withColumns({"box": box, "pred": F.coalesce("role", F.lit("player")) == "player"})
+    return tracks(spark, sf_dir, columns).withColumns({"box": box, "pred": F.coalesce("role", F.lit("player")) == "player"})
 
 
-def matches(spark, sf_dir):
-    every = boxes(spark, sf_dir)
+def matches(spark, sf_dir, columns=COLUMNS):
+    every = boxes(spark, sf_dir, columns)
     pred = every.where("pred").select("video", "frame", F.col("raw_track_id").alias("prediction_id"), F.col("box").alias("p_box"), "team", "jersey_number", F.col("player_id").alias("candidate_player_id"))
     truth = every.where("not pred").select("video", "frame", F.col("raw_track_id").alias("truth_id"), F.col("box").alias("t_box"), F.when(F.col("team") == 1, "Right").when(F.col("team") == 2, "left").alias("truth_team"), F.col("jersey_number").alias("truth_number"))
     found = J.best_overlap(pred.select("video", "frame", "prediction_id", "p_box"), truth.select("video", "frame", "truth_id", "t_box"), ["video", "frame"], least=0.2)
     return pred.drop("p_box").join(found, ["video", "frame", "prediction_id"]).join(truth.drop("t_box"), ["video", "frame", "truth_id"])
 
 
-@query("SELECT video, frame, prediction_id, truth_id, round(1e-9 + iou, 6) AS iou FROM matched", TRACKS + BOXES)
+@query("SELECT video, frame, prediction_id, truth_id, round(1e-9 + iou, 6) AS iou FROM matched", CROWDED_TRACKS + BOXES)
 def iou_matches(spark, sf_dir):
-    return matches(spark, sf_dir).select("video", "frame", "prediction_id", "truth_id", rounded("iou", 6).alias("iou"))
+    return matches(spark, sf_dir, CROWDED).select("video", "frame", "prediction_id", "truth_id", rounded("iou", 6).alias("iou"))
 
 
 TEAMS = """,
