@@ -8,6 +8,7 @@ import pytest
 
 from trackweave.operators import joins as J
 from trackweave.plans import evaluation as QE
+from trackweave.plans import propagation as QP
 
 SF = "/root/testdata/sf0.01"
 
@@ -40,3 +41,22 @@ def test_equal_boxes_meet_once(spark):
     got = {r["prediction_id"]: (r["truth_id"], r["iou"]) for r in J.best_overlap(p, t, ["frame"], least=0.2).collect()}
     # the smallest id of an equal box is 4102 at 0, 4101 at 1
     assert got == {i: ((4102, 1.0), (4101, 1.0), (4101, pytest.approx(380 / 420)))[i % 3] for i in range(900)}
+
+
+def test_edges_join_all_of_a_crowded_video(spark):
+    spans = observed().assign(node=lambda e: e["user_id"] * 100 + e["frame"] // 48).groupby(["video", "node"])["frame"].agg(["min", "max"])
+    got = QP.propagation_edges(spark, SF).select("video", "source", "target", "gap", "cut").collect()
+    knows = {r["node"]: r["number"] is not None and r["number"] % 10 in (1, 2, 3) for r in QP.nodes(spark, SF).select("node", "number").collect()}
+    want = {}
+    for video, some in spans.groupby(level="video"):
+        some = [(n, a, b) for (_, n), a, b in some.itertuples() if n % 13 != 5]
+        for s, s1, s2 in (x for x in some if knows[x[0]]):
+            for t, t1, t2 in (x for x in some if not knows[x[0]]):
+                low, high = (s2, t1) if s2 < t1 else (t2, s1)
+                if 1 <= high - low <= 100 and min(abs(s1 // 50 - t1 // 50), abs(s2 // 50 - t1 // 50)) <= 4:
+                    want[video, s, t] = (high - low, low, high)
+    assert len(got) == len(want) > 50_000
+    cuts = set(map(tuple, observed().query("frame % 97 == 0")[["video", "frame"]].itertuples(index=False)))
+    for r in got:
+        gap, low, high = want[r["video"], r["source"], r["target"]]
+        assert r["gap"] == gap and r["cut"] == min((f for f in range(low + 1, high + 1) if f % 97 == 0 and (r["video"], f) in cuts), default=None)
