@@ -132,7 +132,10 @@ class PieceTable:
 
     def _pieces(self, keys: np.ndarray) -> np.ndarray:
         """Numbers of pieces by their keys; new ones are encoded by the model."""
-        out, slot, left, missing = np.empty(len(keys), np.int64), self._slots(keys), np.arange(len(keys)), []
+        slot, missing = self._slots(keys), []
+        held, out = self.keys.take(slot, axis=0), self.at.take(slot).astype(np.int64)
+        left = np.flatnonzero((held[:, 0] != keys[:, 0]) | (held[:, 1] != keys[:, 1]))  # most stand in their first slot
+        slot = slot[left]
         while len(left):
             held = self.keys[slot]
             same = (held[:, 0] == keys[left, 0]) & (held[:, 1] == keys[left, 1])
