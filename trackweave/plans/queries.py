@@ -123,7 +123,7 @@ def class_centroids(spark, sf_dir):
     SELECT track_id, jersey_number, sum(greatest(0.01, confidence)) AS score, count(*) AS votes FROM o WHERE jersey_number IS NOT NULL GROUP BY ALL)
   WINDOW w AS (PARTITION BY track_id ORDER BY score DESC, votes DESC, jersey_number)) WHERE r = 1""")
 def weighted_vote(spark, sf_dir):
-    out = A.weighted_vote(observations(spark, sf_dir), ["track_id"], number="jersey_number", confidence="confidence")
+    out = A.weighted_vote(observations(spark, sf_dir), ["track_id"], number="jersey_number", confidence="confidence", order="frame")
     return out.select("track_id", "winner", F.round("score", 6).alias("score"), "votes", F.round("share", 6).alias("share"), F.round("margin", 6).alias("margin"))
 
 
