@@ -1,12 +1,20 @@
 """Doubles add up in the order of rows, however these are divided: 1e16 + 1 - 1e16 is 0 in order, 1 if the ends meet first."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from trackweave.operators import aggregates as A
+from trackweave.operators import linking as L
 
 ENDS_FIRST = [(1, 1e16), (3, -1e16), (2, 1.0)]
 
 
+@pytest.mark.parametrize("count_all", [False, True])
+def test_colours_add_in_order(spark, count_all):
+    df = spark.createDataFrame([(7, 1, at, c, "black") for at, c in ENDS_FIRST] + [(7, 1, 4, 0.2, "yellow")], "video int, display_track_id int, at int, score double, colour string")
+    assert L.colour_summary(df.coalesce(1), L.KEY, ["colour"], "score", order="at", count_all=count_all).first()["colour"] == "yellow"
+
+
 def test_votes_add_in_order(spark):
     df = spark.createDataFrame([(1, at, 5, c) for at, c in [(1, 1e16), (3, 1e16), (2, 3.0)]] + [(1, 4, 6, 2e16)], "k int, at int, n int, c double")
     # 3 is lost after the first 1e16 or kept (as 4) before it; both ends first give 2e16 + 4
