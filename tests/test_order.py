@@ -5,10 +5,17 @@ from pyspark.sql import functions as F
 
 from trackweave.operators import aggregates as A
 from trackweave.operators import linking as L
+from trackweave.operators import merging as M
 
 ENDS_FIRST = [(1, 1e16), (3, -1e16), (2, 1.0)]
 
 
+def test_report_adds_in_order(spark):
+    df = spark.createDataFrame([(7, 1, at, at, q, None, None) for at, q in ENDS_FIRST], "video int, display int, frame int, crop int, crop_quality double, player_id string, jersey_number int")
+    none = spark.createDataFrame([], "display int, status string, raw long, voting long, selected long")
+    assert M.unknown_report(df.coalesce(1), none).first()["quality_bucket"] == "low"
+
+
 @pytest.mark.parametrize("count_all", [False, True])
 def test_colours_add_in_order(spark, count_all):
     df = spark.createDataFrame([(7, 1, at, c, "black") for at, c in ENDS_FIRST] + [(7, 1, 4, 0.2, "yellow")], "video int, display_track_id int, at int, score double, colour string")

@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trackweave.operators.aggregates import in_order
+
+
 KEY = ["video", "display"]
 
 
@@ -140,10 +143,10 @@ def unknown_report(rows: DataFrame, entries: DataFrame) -> DataFrame:
     """Unknown displays: extent, crop quality with its bucket, best crop, and what reading made of them.
 
     rows: video, display, frame, crop, crop_quality besides; entries: display,
-    status, raw, voting, selected.
+    status, raw, voting, selected. Qualities add up in order of (frame, crop).
     """
     q = F.coalesce("crop_quality", F.lit(0.0))
-    shown = rows.join(unknown_displays(rows), KEY, "left_semi").groupBy(*KEY).agg(F.count("*").alias("n_frames"), F.min("frame").alias("start_frame"), F.max("frame").alias("end_frame"), F.avg(q).alias("mean_quality"), F.max(q).alias("max_quality"), F.max_by("crop", F.struct(q, -F.col("frame"))).alias("best_crop"))
+    shown = in_order(rows.join(unknown_displays(rows), KEY, "left_semi"), KEY, "frame", "crop").groupBy(*KEY).agg(F.count("*").alias("n_frames"), F.min("frame").alias("start_frame"), F.max("frame").alias("end_frame"), F.avg(q).alias("mean_quality"), F.max(q).alias("max_quality"), F.max_by("crop", F.struct(q, -F.col("frame"))).alias("best_crop"))
     statuses = entries.groupBy("display", "status").agg(F.count("*").alias("n"))
     top = statuses.groupBy("display").agg(F.min(F.struct((-F.col("n")).alias("less"), "status")).alias("t")).select("display", F.col("t.status").alias("primary_status"))
     sums = entries.groupBy("display").agg(*[F.sum(c).alias(c) for c in ("raw", "voting", "selected")])
