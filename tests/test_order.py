@@ -4,12 +4,19 @@ import pytest
 from pyspark.sql import functions as F
 
 from trackweave.operators import aggregates as A
+from trackweave.operators import assignment as AS
 from trackweave.operators import linking as L
 from trackweave.operators import merging as M
 
 ENDS_FIRST = [(1, 1e16), (3, -1e16), (2, 1.0)]
 
 
+def test_distribution_adds_in_order(spark):
+    df = spark.createDataFrame([(7, 1, at, [(5, c, 1)]) for at, c in ENDS_FIRST] + [(7, 1, 4, [(6, 0.5, 1)])], "video int, track_id int, at int, candidates array<struct<jersey_number:int,confidence:double,votes:int>>")
+    got = AS.merged_distribution(df.coalesce(1), AS.KEY, ["candidates"], "d").first()["d"]
+    assert [(c["jersey_number"], c["confidence"]) for c in got] == [(6, 1.0), (5, 0.0)]
+
+
 def test_report_adds_in_order(spark):
     df = spark.createDataFrame([(7, 1, at, at, q, None, None) for at, q in ENDS_FIRST], "video int, display int, frame int, crop int, crop_quality double, player_id string, jersey_number int")
     none = spark.createDataFrame([], "display int, status string, raw long, voting long, selected long")
@@ -27,3 +34,13 @@ def test_votes_add_in_order(spark):
     # 3 is lost after the first 1e16 or kept (as 4) before it; both ends first give 2e16 + 4
     got = [A.weighted_vote(df.coalesce(1).sort(*by), ["k"], number="n", confidence="c", order="at").first()["score"] for by in (["at"], ["n", F.desc("c")])]
     assert got[0] == got[1] == 1e16 + 3.0 + 1e16
+
+
+def test_summary_means_in_order(spark):
+    cols = "video int, track_id int, at int, frame int, raw_track_id int, role string, semantic_group int, team int, team_confidence double, keeper_team int, jersey_number int, jersey_confidence double, head double, margin double, jersey_votes int, palette_match boolean, keeper_score double, crop_quality double, x double, y double, candidates array<struct<jersey_number:int,confidence:double,votes:int>>"
+    for video in (7, None):
+        df = spark.createDataFrame([(video, 1, at, at, at, "player", 1, 1, v, 1, 5, v, v, v, 4, False, v, v, v, v, None) for at, v in ENDS_FIRST], cols)
+        got = AS.summarize(df.coalesce(1)).collect()
+        assert len(got) == 1
+        means = ["mean_team_confidence", "keeper_score", "mean_crop_quality", "mean_x", "mean_y"] + (["jersey_confidence", "head", "margin"] if video else [])
+        assert {c: got[0][c] for c in means} == dict.fromkeys(means, 0.0)
