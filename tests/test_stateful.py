@@ -1,6 +1,7 @@
 """Ordered folds against plain brute force."""
 
 import math
+import time
 
 import numpy as np
 import pytest
@@ -120,3 +121,13 @@ def test_mean_and_nearest_vectors(spark):
     one = V.nearest_vector(df, "id", "v", means.where("k = 'b'"), "k").collect()
     assert len(one) == 6 and all(r["margin"] == r["similarity"] for r in one)
     assert V.nearest_vector(df, "id", "v", means.where("false"), "k").count() == 0
+
+
+def test_select_object_takes_many_frames_in_a_call(spark):
+    """A table of its own for each frame took a millisecond and more of them; 60,000 frames of one key."""
+    n = 60_000
+    df = spark.range(n, numPartitions=1).selectExpr("0L AS video", "id AS at", "id AS candidate", "0.5D AS confidence", "1.0D * id AS x1", "0.0D AS y1", "1.0D * id + 8 AS x2", "8.0D AS y2")
+    rules = dict(frame_area=1e6, max_area=0.001, size_penalty=0.2, acquire=0.1, reach=60, reach_cap=300, near=40, distance_penalty=0.3, after_miss=0.05, forget=12)
+    started = time.time()
+    got = SF.select_object(df, ["video"], "at", **rules).agg(F.count("*"), F.sum("moved"), F.sum("gap")).first()
+    assert tuple(got) == (n, n - 1.0, n - 1) and time.time() - started < 30

@@ -121,31 +121,45 @@ def select_object(
     """
 
     def step(state: dict, rows: pd.DataFrame) -> pd.DataFrame:
-        now = int(rows[frame].iloc[0])
         box, conf = rows[["x1", "y1", "x2", "y2"]].to_numpy(float), rows["confidence"].to_numpy(float)
         share = np.clip(box[:, 2] - box[:, 0], 0, None) * np.clip(box[:, 3] - box[:, 1], 0, None) / frame_area
-        middle = (box[:, :2] + box[:, 2:]) / 2
-        ok, score, away = share <= max_area, conf - size_penalty * share / max_area, np.full(len(rows), np.nan)
-        gap = now - state["frame"] if "frame" in state else 0
-        if 0 < gap <= forget:
-            away = np.hypot(*(middle - state["middle"]).T)
+        fits, plain, conf = (share <= max_area).tolist(), (conf - size_penalty * share / max_area).tolist(), conf.tolist()
+        middle = ((box[:, 0] + box[:, 2]) / 2 + 1j * ((box[:, 1] + box[:, 3]) / 2)).tolist()
+        at = rows[frame].to_numpy()
+        cuts = [0, *(np.flatnonzero(at[1:] != at[:-1]) + 1).tolist(), len(rows)]
+        taken, scores, moved, gaps = [], [], [], []
+        for first, last, now in zip(cuts, cuts[1:], at[cuts[:-1]].tolist()):
+            gap = now - state["frame"] if "frame" in state else 0
+            follows = 0 < gap <= forget
             limit = max(1.0, min(reach * gap, reach_cap))
-            part = away / np.where(conf < acquire, min(limit, max(1.0, near)), limit)
-            ok &= (part <= 1) & ((gap == 1) | (conf >= after_miss))
-            score = score - distance_penalty * part
-        else:
-            ok &= conf >= acquire
-        if not ok.any():
-            return rows.iloc[:0][[*keys, frame, "candidate"]].assign(score=0.0, moved=0.0, gap=0)
-        best = int(np.where(ok, score, -np.inf).argmax())
-        state |= {"frame": now, "middle": middle[best]}
-        moved = None if np.isnan(away[best]) else away[best]
-        return rows.iloc[[best]][[*keys, frame, "candidate"]].assign(score=score[best], moved=pd.Series([moved], dtype="Float64").to_numpy(), gap=pd.Series([gap if moved is not None else None], dtype="Int64").to_numpy())
+            best, top, step_ = None, 0.0, None
+            for i in range(first, last):
+                if not fits[i]:
+                    continue
+                score, away = plain[i], None
+                if follows:
+                    away = abs(middle[i] - state["middle"])
+                    part = away / (min(limit, max(1.0, near)) if conf[i] < acquire else limit)
+                    if not part <= 1 or (gap > 1 and conf[i] < after_miss):
+                        continue
+                    score -= distance_penalty * part
+                elif conf[i] < acquire:
+                    continue
+                if best is None or score > top:
+                    best, top, step_ = i, score, away
+            if best is not None:
+                state |= {"frame": now, "middle": middle[best]}
+                taken.append(best)
+                scores.append(top)
+                moved.append(step_)
+                gaps.append(gap if follows else None)
+        got = rows.iloc[taken][[*keys, frame, "candidate"]]
+        return got.assign(score=scores, moved=pd.array(moved, dtype="Float64"), gap=pd.array(gaps, dtype="Int64"))
 
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*keys, frame, "candidate"]) + ", score double, moved double, gap long"
     need = df.select(*keys, frame, "candidate", "confidence", "x1", "y1", "x2", "y2").dropna(subset=["confidence", "x1", "y1", "x2", "y2"])
-    return fold_ordered(need, keys, [frame, "candidate"], step, schema, whole=[*keys, frame])
+    return fold_ordered(need, keys, [frame, "candidate"], step, schema, whole=[*keys, frame], many=True)
 
 
 def link_candidates(spans: DataFrame, key: str, *, max_gap: int, max_distance: float, same_team: Column, min_cosine: float, gap_cost: float = 0.5) -> DataFrame:
