@@ -7,6 +7,7 @@ from trackweave.operators import aggregates as A
 from trackweave.operators import assignment as AS
 from trackweave.operators import linking as L
 from trackweave.operators import merging as M
+from trackweave.plans import assignment as QA
 
 ENDS_FIRST = [(1, 1e16), (3, -1e16), (2, 1.0)]
 
@@ -44,3 +45,24 @@ def test_summary_means_in_order(spark):
         assert len(got) == 1
         means = ["mean_team_confidence", "keeper_score", "mean_crop_quality", "mean_x", "mean_y"] + (["jersey_confidence", "head", "margin"] if video else [])
         assert {c: got[0][c] for c in means} == dict.fromkeys(means, 0.0)
+
+
+@pytest.mark.parametrize("zero", [0.0, 1.0])
+def test_cheapest_players_are_those_of_all_pairs(spark, zero):
+    seen = QA.daily(spark, "/root/testdata/sf0.001")
+    tracklets, roster = AS.summarize(seen), QA.roster(spark, "/root/testdata/sf0.01")
+    every = AS.costs(AS.pairs(tracklets, roster)).select(*AS.KEY, "player_id", "cost").collect()
+    want = {}
+    for r in every:
+        want.setdefault((r["video"], r["track_id"]), []).append((zero if r["cost"] == 0 else r["cost"], r["player_id"]))
+    got = {}
+    for r in AS.cheapest(tracklets, roster, F.lit(3), zero=zero).collect():
+        got.setdefault((r["video"], r["track_id"]), []).append((zero if r["cost"] == 0 else r["cost"], r["player_id"]))
+    assert len(want) > 100 and {k: sorted(v) for k, v in got.items()} == {k: sorted(v)[:3] for k, v in want.items()}
+
+
+def test_rosters_of_any_size_meet_all_tracklets(spark, monkeypatch):
+    monkeypatch.setattr(AS, "MOST_PLAYERS", 5)
+    one, some = AS.summarize(QA.rows(spark, "/root/testdata/sf0.001")), QA.roster(spark, "/root/testdata/sf0.01")
+    assert AS.pairs(one, some).count() == one.count() * some.count() > 0
+    assert AS.assign(AS.gated(AS.cheapest(one, some, AS.of_video()))).count() == one.count()
